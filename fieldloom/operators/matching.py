@@ -9,6 +9,7 @@ from fieldloom import dimensions, schemas
 from fieldloom.functions import model_json
 from fieldloom.functions.numbers import ratio
 from fieldloom.functions.text import is_blank, list_literal
+from fieldloom.operators.skew import skew_join
 
 # Fixed value: the prompt around the resume text and the numbered field list.
 PROMPT_TEMPLATE = """
@@ -83,8 +84,8 @@ def validate_forms(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", *_form_verdict(F.size("form_fields"), first_bad))
 
 
-def validate_form_fields(requests: DataFrame, form_fields: DataFrame) -> DataFrame:
-    """Verdict per request on form fields in long form, with ``n_fields``.
+def form_totals(form_fields: DataFrame) -> DataFrame:
+    """Number of fields and first violation per request, from form fields in long form.
 
     Only the first violation travels through the shuffle, not the fields.
     """
@@ -92,12 +93,20 @@ def validate_form_fields(requests: DataFrame, form_fields: DataFrame) -> DataFra
     checked = form_fields.select(
         "request_id", "pos", reason.alias("reason"),
         _subject(reason, F.col("name"), F.col("type")).alias("subject"))
-    per_request = checked.groupBy("request_id").agg(
+    return checked.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n_fields"),
-        F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason", "subject"))).alias("bad"))
-    joined = requests.select("request_id").join(per_request, "request_id", "left")
-    return joined.select("request_id", F.coalesce("n_fields", F.lit(0)).alias("n_fields"),
-                         *_form_verdict(F.col("n_fields"), F.col("bad")))
+        F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason", "subject"))).alias("_bad"))
+
+
+def with_form_verdict(requests: DataFrame, form_fields: DataFrame) -> DataFrame:
+    """Requests with the verdict on their form fields and ``n_fields``."""
+    joined = requests.join(form_totals(form_fields), "request_id", "left")
+    return joined.select(*requests.columns, F.coalesce("n_fields", F.lit(0)).alias("n_fields"),
+                         *_form_verdict(F.col("n_fields"), F.col("_bad")))
+
+
+def validate_form_fields(requests: DataFrame, form_fields: DataFrame) -> DataFrame:
+    return with_form_verdict(requests.select("request_id"), form_fields)
 
 
 # --- prompts -----------------------------------------------------------------
@@ -125,14 +134,16 @@ def numbered(descriptors: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def field_lines(form_fields: DataFrame, valid_requests: DataFrame) -> DataFrame:
-    """Numbered descriptors of each valid request.
+def field_lines(form_fields: DataFrame) -> DataFrame:
+    """Numbered descriptors of each request whose form is valid.
 
-    A valid request has at most 50 fields, so what one group collects is
-    bounded; oversized requests are gone before the shuffle.
+    A valid form has at most 50 fields, so what one group collects is bounded;
+    larger forms are gone before anything is collected.
     """
-    wanted = form_fields.join(valid_requests.select("request_id"), "request_id", "left_semi")
-    return describe_fields(wanted).groupBy("request_id").agg(
+    valid = form_totals(form_fields).filter(
+        (F.col("n_fields") <= schemas.MAX_FORM_FIELDS) & F.col("_bad").isNull())
+    kept = skew_join(form_fields, valid.select("request_id"), ["request_id"], "left_semi", ["pos"])
+    return describe_fields(kept).groupBy("request_id").agg(
         numbered(F.transform(F.array_sort(F.collect_list(F.struct("pos", "descriptor"))),
                              lambda d: d["descriptor"])).alias("fields_text"))
 
@@ -145,8 +156,8 @@ def prompt_text(resume_text: Column, fields_text: Column) -> Column:
 
 # --- answers -----------------------------------------------------------------
 
-def read_answers(outputs: DataFrame) -> DataFrame:
-    """Model outputs with their verdict and the valid matches as an array.
+def with_answer(outputs: DataFrame) -> DataFrame:
+    """Rows with ``status_code`` and ``output_text`` replaced by a verdict and the valid matches.
 
     Row by row, so the same for a batch and for a stream.
     """
@@ -156,7 +167,11 @@ def read_answers(outputs: DataFrame) -> DataFrame:
     return parsed.withColumns({
         "answer_verdict": verdict,
         "matches": F.when(verdict == model_json.OK, model_json.valid_matches(F.col("_elements"))),
-    }).select("request_id", "answer_verdict", "matches")
+    }).drop("status_code", "output_text", "_elements")
+
+
+def read_answers(outputs: DataFrame) -> DataFrame:
+    return with_answer(outputs.select("request_id", "status_code", "output_text"))
 
 
 def match_rows(answers: DataFrame) -> DataFrame:

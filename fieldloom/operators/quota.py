@@ -13,15 +13,17 @@ GRANT, USE = 0, 1
 ORDER = ["event_at", "kind", "event_id"]
 
 
-def quota_events(grants: DataFrame, uses: DataFrame) -> DataFrame:
-    """Grants and uses as one timeline; at equal times grants come first, then ids decide."""
+def grant_events(grants: DataFrame) -> DataFrame:
     return grants.select(
         "user_id", F.col("activated_at").alias("event_at"), F.lit(GRANT).alias("kind"),
-        F.col("activation_id").alias("event_id"), F.col("remaining_uses").cast("long").alias("delta"),
-    ).unionByName(uses.select(
+        F.col("activation_id").alias("event_id"), F.col("remaining_uses").cast("long").alias("delta"))
+
+
+def quota_events(grants: DataFrame, uses: DataFrame) -> DataFrame:
+    """Grants and uses as one timeline; at equal times grants come first, then ids decide."""
+    return grant_events(grants).unionByName(uses.select(
         "user_id", F.col("used_at").alias("event_at"), F.lit(USE).alias("kind"),
-        F.col("use_id").alias("event_id"), F.lit(-1).cast("long").alias("delta"),
-    ))
+        F.col("use_id").alias("event_id"), F.lit(-1).cast("long").alias("delta")))
 
 
 def ledger_timeline(events: DataFrame) -> Timeline:

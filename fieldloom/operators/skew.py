@@ -41,9 +41,14 @@ class SkewPolicy:
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, or None when the session does not offer it."""
+    """Bytes of the tables df reads, or None when the session does not tell.
+
+    The optimizer multiplies the sides of a join; here every join looks up one
+    row, so the sum over the inputs is the closer bound.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:
         return None
 

@@ -25,9 +25,8 @@ def checked_requests(requests: DataFrame, form_fields: DataFrame, resumes: DataF
                      users: DataFrame) -> DataFrame:
     """Requests with the first failure before the model is asked, or ``ok``."""
     gated = lookup.active_user_gate(requests, users)
-    forms = matching.validate_form_fields(requests, form_fields)
     with_resume = lookup.requests_with_resume(gated, resumes, resume_text(F.col("fields")))
-    checked = with_resume.join(forms, "request_id")
+    checked = matching.with_form_verdict(with_resume, form_fields)
     verdict = (F.when(F.col("gate") != "pass", F.col("gate"))
                .when(F.col("form_verdict") != "ok", F.col("form_verdict"))
                .otherwise(F.col("resume_verdict")))
@@ -37,42 +36,50 @@ def checked_requests(requests: DataFrame, form_fields: DataFrame, resumes: DataF
 def build_prompts(checked: DataFrame, form_fields: DataFrame) -> DataFrame:
     """The prompt of every request that passed its checks."""
     passed = checked.filter(F.col("check_verdict") == "ok").select("request_id", "resume_text")
-    lines = matching.field_lines(form_fields, passed)
-    return passed.join(lines, "request_id").select(
+    return passed.join(matching.field_lines(form_fields), "request_id").select(
         "request_id", matching.prompt_text(F.col("resume_text"), F.col("fields_text")).alias("prompt"))
 
 
+def judged_requests(checked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Checked requests with their outcome and matches.
+
+    Answers are parsed after the join, and only those of requests that passed.
+    """
+    passed = F.col("check_verdict") == "ok"
+    joined = checked.join(answers.select("request_id", "status_code", "output_text"), "request_id", "left")
+    read = matching.with_answer(joined.withColumn("status_code", F.when(passed, F.col("status_code"))))
+    return read.withColumn(
+        "outcome", F.when(passed, F.col("answer_verdict")).otherwise(F.col("check_verdict")))
+
+
 def match_forms(requests: DataFrame, form_fields: DataFrame, resumes: DataFrame, users: DataFrame,
                 grants: DataFrame, answers: DataFrame) -> FormMatching:
     """Outcome of every request, given the model's answers.
 
     A request that fails before the log writes no log and is charged nothing.
-    A charge that finds no use left does not undo the match.
+    A charge that finds no use left does not undo the match. The requests run
+    through the quota timeline themselves, failed ones with a charge of 0, so
+    no charge has to be joined back.
     """
-    checked = checked_requests(requests, form_fields, resumes, users)
-    read = matching.read_answers(answers)
-    joined = checked.join(read, "request_id", "left")
-    outcome = (F.when(F.col("check_verdict") != "ok", F.col("check_verdict"))
-               .otherwise(F.coalesce("answer_verdict", F.lit("api_error"))))
-    judged = joined.withColumn("outcome", outcome)
+    judged = judged_requests(checked_requests(requests, form_fields, resumes, users), answers)
     succeeded = F.col("outcome") == "ok"
     counted = judged.select(
         "request_id", "user_id", "website_url", "requested_at", "outcome",
         F.col("n_fields").alias("total_fields"),
         F.when(succeeded, matching.success_count(F.col("matches"))).otherwise(0).alias("success_count"),
         F.when(succeeded, matching.matched_fields(F.col("matches"))).otherwise(0).alias("matched_fields"))
-
-    charges = counted.filter(succeeded).select(
-        F.col("request_id").alias("use_id"), "user_id", F.col("requested_at").alias("used_at"))
-    ledger = quota.quota_ledger(grants, charges)
-    charged = ledger.filter("ok").select(F.col("use_id").alias("request_id"), F.lit(True).alias("charged"))
-    outcomes = counted.join(charged, "request_id", "left").select(
-        "request_id", "user_id", "outcome", "total_fields", "matched_fields", "success_count",
-        ratio(F.col("matched_fields"), F.col("total_fields")).alias("match_rate"),
-        F.coalesce("charged", F.lit(False)).alias("charged"))
+    events = quota.grant_events(grants).unionByName(counted.withColumns({
+        "event_at": F.col("requested_at"), "kind": F.lit(quota.USE), "event_id": F.col("request_id"),
+        "delta": F.when(succeeded, -1).otherwise(0).cast("long"),
+    }), allowMissingColumns=True)
+    charged = quota.ledger_timeline(events).rows().filter(F.col("kind") == quota.USE)
     return FormMatching(
-        outcomes=outcomes,
-        matches=matching.match_rows(judged.filter(succeeded).select("request_id", "matches")),
+        outcomes=charged.select(
+            "request_id", "user_id", "outcome", "total_fields", "matched_fields", "success_count",
+            ratio(F.col("matched_fields"), F.col("total_fields")).alias("match_rate"),
+            (succeeded & F.col("ok")).alias("charged")),
+        matches=matching.match_rows(judged.filter(succeeded)),
         logs=usage_log_rows(counted.filter(succeeded)),
-        ledger=ledger,
+        ledger=charged.filter(succeeded).select(
+            F.col("request_id").alias("use_id"), "user_id", F.col("requested_at").alias("used_at"), "ok", "balance"),
     )

@@ -12,7 +12,7 @@ from fieldloom import schemas
 from fieldloom.functions.documents import parse_document
 
 
-def read_table(spark: SparkSession, path: str | None = None, schema: T.StructType | None = None,
+def read_table(spark: SparkSession, path: str | None = None, schema: T.StructType | str | None = None,
                format: str = "parquet", **options: str) -> DataFrame:
     """One reader for files and, with ``format="jdbc"``, for a PostgreSQL table.
 
@@ -25,7 +25,7 @@ def read_table(spark: SparkSession, path: str | None = None, schema: T.StructTyp
     return reader.load(path) if path else reader.load()
 
 
-def stream_table(spark: SparkSession, path: str, schema: T.StructType,
+def stream_table(spark: SparkSession, path: str, schema: T.StructType | str,
                  format: str = "parquet", **options: str) -> DataFrame:
     return spark.readStream.format(format).schema(schema).options(**options).load(path)
 

@@ -1,11 +1,14 @@
 """Hot keys take the split paths and give the same rows as the plain ones."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators.skew import Timeline, hot_keys, skew_join
+from conftest import SMALL
+from fieldloom.operators.skew import Timeline, estimated_bytes, hot_keys, skew_join
+from fieldloom.sources import derived
 
 
 def skewed_rows(n=400, seed=1):
@@ -31,8 +34,13 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_small_input_is_not_probed(left):
-    assert hot_keys(left, ["k"]) is None
+def test_small_input_is_not_probed(spark, monkeypatch):
+    orders = derived.view(spark, SMALL, "redeem_requests")
+    size = os.path.getsize(f"{SMALL}/orders.parquet")
+    assert estimated_bytes(orders) == size
+    assert estimated_bytes(orders.join(orders.select("code"), "code")) == 2 * size
+    monkeypatch.setattr("fieldloom.operators.skew.durable", None)
+    assert hot_keys(orders, ["code"]) is None
 
 
 def test_hot_keys(left, tiny_limits):
