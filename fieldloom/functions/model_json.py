@@ -1,7 +1,7 @@
 """Reading the JSON array out of a model's text answer.
 
-The answer is held as a variant, so elements of any shape survive until they
-have been checked.
+The answer is parsed as a variant and read as objects of three variants, so an
+element or attribute of another type shows as such instead of being converted.
 """
 
 from __future__ import annotations
@@ -38,15 +38,20 @@ def _without_nan(json_text: Column) -> Column:
     return F.when(json_text.rlike("NaN|Infinity"), cleaned).otherwise(json_text)
 
 
+_ELEMENT = f"struct<{', '.join(f'{key}: variant' for key in MATCH_DEFAULTS)}>"
+
+
 def parse_elements(json_text: Column) -> Column:
-    """Exactly one JSON array as ``array<variant>``; null for anything else.
+    """Exactly one JSON array as an array of objects; null for anything else.
 
     The text is wrapped in one more array: trailing text or a second array
-    then shows as a parse failure or as a second outer element.
+    then shows as a parse failure or as a second outer element. An element
+    that is not an object is null; so is an attribute that is absent.
     """
     wrapped = F.concat(F.lit("["), _without_nan(json_text), F.lit("]"))
-    outer = F.try_variant_get(F.try_parse_json(wrapped), "$", "array<array<variant>>")
-    return F.when(F.size(outer) == 1, outer[0])
+    outer = F.try_variant_get(F.try_parse_json(wrapped), "$", f"array<array<{_ELEMENT}>>")
+    # a transform over one element, so that the parse is written and run once
+    return F.transform(F.array(outer), lambda arrays: F.when(F.size(arrays) == 1, arrays[0]))[0]
 
 
 def answer_verdict(status_code: Column, text: Column, elements: Column) -> Column:
@@ -58,19 +63,17 @@ def answer_verdict(status_code: Column, text: Column, elements: Column) -> Colum
     )
 
 
-def _attribute(element: Column, key: str) -> Column:
-    """The string under key, the default when absent, null when not a string."""
-    held = F.try_variant_get(element, f"$.{key}", "variant")
-    return (
-        F.when(held.isNull(), F.lit(MATCH_DEFAULTS[key]))
-        .when(F.schema_of_variant(held) == "STRING", F.try_variant_get(element, f"$.{key}", "string"))
-    )
-
-
 def valid_matches(elements: Column) -> Column:
-    """Elements that are objects whose three attributes are all strings, in order."""
-    objects = F.filter(elements, lambda e: F.schema_of_variant(e).startswith("OBJECT"))
-    candidates = F.transform(objects, lambda e: F.struct(
-        *[_attribute(e, key).alias(key) for key in MATCH_DEFAULTS]))
-    return F.filter(candidates, lambda m: (
-        m["field_name"].isNotNull() & m["field_type"].isNotNull() & m["matched_value"].isNotNull()))
+    """Elements that are objects whose attributes, where present, are strings; in order.
+
+    A JSON null is present and not a string.
+    """
+    def valid(element: Column) -> Column:
+        good = element.isNotNull()
+        for key in MATCH_DEFAULTS:
+            good = good & (element[key].isNull() | (F.schema_of_variant(element[key]) == "STRING"))
+        return good
+
+    return F.transform(F.filter(elements, valid), lambda element: F.struct(*[
+        F.coalesce(element[key].cast("string"), F.lit(default)).alias(key)
+        for key, default in MATCH_DEFAULTS.items()]))

@@ -56,57 +56,76 @@ def field_violation(name: Column, type_: Column, options: Column) -> Column:
     )
 
 
-def _form_verdict(n_fields: Column, first_bad: Column) -> tuple[Column, Column, Column]:
-    """Reason, 1-based position and what the message names, for the first violation."""
-    size_problem = (F.when(F.coalesce(n_fields, F.lit(0)) == 0, "no_fields")
-                    .when(n_fields > schemas.MAX_FORM_FIELDS, "too_many_fields"))
-    shown = size_problem.isNull()
-    return (
-        F.coalesce(size_problem, first_bad["reason"], F.lit("ok")).alias("form_verdict"),
-        F.when(shown, first_bad["pos"]).alias("bad_pos"),
-        F.when(shown, first_bad["subject"]).alias("bad_subject"),
-    )
+def _size_problem(n_fields: Column) -> Column:
+    return (F.when(F.coalesce(n_fields, F.lit(0)) == 0, "no_fields")
+            .when(n_fields > schemas.MAX_FORM_FIELDS, "too_many_fields"))
 
 
 def _subject(reason: Column, name: Column, type_: Column) -> Column:
+    """What the message on a violation names."""
     return F.when(reason == "bad_type", type_).when(reason == "missing_options", name)
 
 
 def validate_forms(requests: DataFrame) -> DataFrame:
-    """Verdict per request on its nested ``form_fields``."""
+    """Verdict per request on its nested ``form_fields``: reason, 1-based position, subject."""
     def check(field: Column, index: Column) -> Column:
         reason = field_violation(field["name"], field["type"], field["options"])
         return F.struct((index + 1).alias("pos"), reason.alias("reason"),
                         _subject(reason, field["name"], field["type"]).alias("subject"))
 
     broken = F.filter(F.transform("form_fields", check), lambda c: c["reason"].isNotNull())
-    first_bad = F.try_element_at(broken, F.lit(1))
-    return requests.select("request_id", *_form_verdict(F.size("form_fields"), first_bad))
+    first, too = F.try_element_at(broken, F.lit(1)), _size_problem(F.size("form_fields"))
+    return requests.select(
+        "request_id",
+        F.coalesce(too, first["reason"], F.lit("ok")).alias("form_verdict"),
+        F.when(too.isNull(), first["pos"]).alias("bad_pos"),
+        F.when(too.isNull(), first["subject"]).alias("bad_subject"))
+
+
+_REASONS = ("blank_name", "bad_type", "missing_options")
 
 
-def form_totals(form_fields: DataFrame) -> DataFrame:
+def form_totals(form_fields: DataFrame, *extra: Column) -> DataFrame:
     """Number of fields and first violation per request, from form fields in long form.
 
-    Only the first violation travels through the shuffle, not the fields.
+    Position and reason travel as one number, which keeps the aggregation a
+    hash aggregation on both sides of the shuffle.
     """
     reason = field_violation(F.col("name"), F.col("type"), F.col("options"))
-    checked = form_fields.select(
-        "request_id", "pos", reason.alias("reason"),
-        _subject(reason, F.col("name"), F.col("type")).alias("subject"))
-    return checked.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_fields"),
-        F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "reason", "subject"))).alias("_bad"))
+    code = F.array_position(F.array(*[F.lit(r) for r in _REASONS]), reason)
+    checked = form_fields.withColumn("_reason", reason).withColumn(
+        "_violation", F.col("pos").cast("long") * (len(_REASONS) + 1) + code)
+    totals = checked.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n_fields"), F.min("_violation").alias("_first"), *extra)
+    return totals.withColumns({
+        "bad_pos": F.floor(F.col("_first") / (len(_REASONS) + 1)).cast("int"),
+        "bad_reason": F.try_element_at(F.array(*[F.lit(r) for r in _REASONS]),
+                                       (F.col("_first") % (len(_REASONS) + 1)).cast("int")),
+    }).drop("_first")
 
 
 def with_form_verdict(requests: DataFrame, form_fields: DataFrame) -> DataFrame:
     """Requests with the verdict on their form fields and ``n_fields``."""
     joined = requests.join(form_totals(form_fields), "request_id", "left")
-    return joined.select(*requests.columns, F.coalesce("n_fields", F.lit(0)).alias("n_fields"),
-                         *_form_verdict(F.col("n_fields"), F.col("_bad")))
+    return joined.select(
+        *requests.columns, F.coalesce("n_fields", F.lit(0)).alias("n_fields"),
+        F.coalesce(_size_problem(F.col("n_fields")), "bad_reason", F.lit("ok")).alias("form_verdict"))
 
 
 def validate_form_fields(requests: DataFrame, form_fields: DataFrame) -> DataFrame:
-    return with_form_verdict(requests.select("request_id"), form_fields)
+    """The verdict with the position and subject its message names.
+
+    Only the first violation travels through the shuffle, not the fields.
+    """
+    subject = F.min(F.when(F.col("_reason").isNotNull(), F.struct(
+        "pos", _subject(F.col("_reason"), F.col("name"), F.col("type")).alias("subject")))).alias("_bad")
+    totals = form_totals(form_fields, subject)
+    too = _size_problem(F.col("n_fields"))
+    return requests.select("request_id").join(totals, "request_id", "left").select(
+        "request_id", F.coalesce("n_fields", F.lit(0)).alias("n_fields"),
+        F.coalesce(too, "bad_reason", F.lit("ok")).alias("form_verdict"),
+        F.when(too.isNull(), F.col("bad_pos")).alias("bad_pos"),
+        F.when(too.isNull(), F.col("_bad.subject")).alias("bad_subject"))
 
 
 # --- prompts -----------------------------------------------------------------
@@ -141,7 +160,7 @@ def field_lines(form_fields: DataFrame) -> DataFrame:
     larger forms are gone before anything is collected.
     """
     valid = form_totals(form_fields).filter(
-        (F.col("n_fields") <= schemas.MAX_FORM_FIELDS) & F.col("_bad").isNull())
+        (F.col("n_fields") <= schemas.MAX_FORM_FIELDS) & F.col("bad_reason").isNull())
     kept = skew_join(form_fields, valid.select("request_id"), ["request_id"], "left_semi", ["pos"])
     return describe_fields(kept).groupBy("request_id").agg(
         numbered(F.transform(F.array_sort(F.collect_list(F.struct("pos", "descriptor"))),
