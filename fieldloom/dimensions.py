@@ -75,6 +75,13 @@ def preset_fields(spark: SparkSession, group: str | None = None) -> DataFrame:
     return table if group is None else table.filter(F.col("group") == group)
 
 
+def preset_fields_by_group(spark: SparkSession) -> DataFrame:
+    """One row per group with its fields in order."""
+    fields = F.sort_array(F.collect_list(F.struct(
+        "position", "key", "label", "category", "placeholder", "required")))
+    return preset_fields(spark).groupBy("group").agg(fields.alias("fields"))
+
+
 def field_types(spark: SparkSession) -> DataFrame:
     """Accepted field types, with the advertised ones flagged."""
     return _literal_table(spark, "type name description", list(FIELD_TYPES)).withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import schemas
 from fieldloom.operators.lookup import new_rows, with_code
-from fieldloom.operators.skew import Timeline, first_rows, skew_join
+from fieldloom.operators.skew import Timeline, first_rows, hot_keys, skew_join
 
 ORDER = ["requested_at", "request_id"]
 # Fixed value: the characters of a code.
@@ -32,22 +32,23 @@ def redeem_codes(requests: DataFrame, codes: DataFrame, grants: DataFrame) -> Re
     inactive. All other verdicts follow from the request's own row.
     """
     room = F.greatest(F.col("total_uses") - F.col("used_count"), F.lit(0))
-    joined = with_code(requests, codes).withColumn("_room", room)
+    hot = hot_keys(requests, ["code"])
+    joined = with_code(requests, codes, hot).withColumn("_room", room)
     usable = (
         (F.col("status") == "active") & (F.col("_room") > 0)
         & (F.col("expires_at").isNull() | (F.col("expires_at") >= F.col("requested_at")))
     )
     held = grants.select("user_id", "code_id").distinct()
     candidates = first_rows(
-        joined.filter(usable).select("request_id", "user_id", "requested_at", "code_id", "_room"),
+        joined.filter(usable).select("request_id", "user_id", "requested_at", "code", "code_id", "_room"),
         ["user_id", "code_id"], ORDER,
     ).join(held, ["user_id", "code_id"], "left_anti")
-    numbered = Timeline(candidates, ["code_id"], ORDER).running("_place", F.sum, F.lit(1)).rows()
+    numbered = Timeline(candidates, ["code"], ORDER, hot).running("_place", F.sum, F.lit(1)).rows()
     granted = numbered.filter(F.col("_place") <= F.col("_room"))
     closings = granted.filter(F.col("_place") == F.col("_room")).select(
-        "code_id", F.struct(*ORDER).alias("_closing"))
+        "code", F.struct(*ORDER).alias("_closing"))
 
-    closed = skew_join(joined, closings, ["code_id"], "left", ["request_id"])
+    closed = skew_join(joined, closings, ["code"], "left", ["request_id"], hot)
     flagged = closed.join(granted.select("request_id", F.lit(True).alias("_granted")), "request_id", "left")
     verdict = (
         F.when(F.col("code_id").isNull(), "not_found")
@@ -99,11 +100,14 @@ def generate_codes(batches: DataFrame, existing: DataFrame, as_of: Column, seed:
                    limit: int = schemas.MAX_CODES_PER_BATCH) -> DataFrame:
     """New codes for batches (batch_id, n_codes, total_uses, expires_in_days).
 
-    A batch over the limit is rejected whole. A code that collides with another
-    of the run or an existing one is skipped, not drawn again.
+    Nulls mean the defaults. A batch over the limit is rejected whole. A code
+    that collides with another of the run or an existing one is skipped, not
+    drawn again.
     """
+    defaults = {"n_codes": schemas.DEFAULT_BATCH_CODES, "total_uses": schemas.DEFAULT_CODE_USES,
+                "expires_in_days": schemas.DEFAULT_CODE_DAYS}
     drawn = (
-        batches.filter((F.col("n_codes") <= limit) & (F.col("n_codes") > 0))
+        batches.na.fill(defaults).filter((F.col("n_codes") <= limit) & (F.col("n_codes") > 0))
         .select("batch_id", "total_uses", "expires_in_days",
                 F.explode(F.sequence(F.lit(1), F.col("n_codes"))).alias("ordinal"))
         .withColumn("code", code_text(seed, F.col("batch_id"), F.col("ordinal")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import schemas
-from fieldloom.operators.skew import skew_join
+from fieldloom.operators.skew import hot_keys, skew_join
 
 # child table, foreign key, parent table, parent key
 FOREIGN_KEYS = (
@@ -79,6 +79,7 @@ def cascade_delete(tables: Mapping[str, DataFrame], deleted_users: DataFrame | N
         for owner, column, parent, key in FOREIGN_KEYS:
             if owner == child and gone[parent] is not None:
                 keys = gone[parent].select(F.col(key).alias(column)).distinct()
-                df = skew_join(df, keys, [column], "left_anti", [row_id])
+                hot = hot_keys(tables[child], [column])
+                df = skew_join(df, keys, [column], "left_anti", [row_id], hot)
         survivors[child] = df
     return survivors

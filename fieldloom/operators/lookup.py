@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.skew import skew_join
+from fieldloom.functions.text import is_blank
+from fieldloom.operators.skew import PROBE, skew_join
 
 
 def lookup_one_or_none(requests: DataFrame, state: DataFrame, keys: Sequence[str],
@@ -39,17 +40,30 @@ def gate_verdict(status: Column) -> Column:
             .when(status != "active", "deactivated").otherwise("pass"))
 
 
-def active_user_gate(requests: DataFrame, users: DataFrame) -> DataFrame:
+def active_user_gate(requests: DataFrame, users: DataFrame, hot=PROBE) -> DataFrame:
     """Requests with ``gate``: invalid_credentials, deactivated or pass."""
     status = users.select("user_id", F.col("status").alias("_status"))
-    return (skew_join(requests, status, ["user_id"], "left", ["request_id"])
+    return (skew_join(requests, status, ["user_id"], "left", ["request_id"], hot)
             .withColumn("gate", gate_verdict(F.col("_status"))).drop("_status"))
 
 
-def owned_resumes(requests: DataFrame, resumes: DataFrame, columns: Sequence[str]) -> DataFrame:
+def login_gate(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Login requests by email: pass for a known active user, else invalid_credentials."""
+    status = users.select("email", F.col("status").alias("_status"))
+    passes = F.coalesce(F.col("_status") == "active", F.lit(False))
+    return (skew_join(requests, status, ["email"], "left", ["request_id"])
+            .withColumn("gate", F.when(passes, "pass").otherwise("invalid_credentials")).drop("_status"))
+
+
+def rows_for(state: DataFrame, requests: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    """The state rows whose key some request names, each once."""
+    return skew_join(state, requests.select(*keys).distinct(), keys, "left_semi", [row_id])
+
+
+def owned_resumes(requests: DataFrame, resumes: DataFrame, columns: Sequence[str], hot=PROBE) -> DataFrame:
     """Requests with ``found`` and columns of the resume, when the requester owns it."""
     owned = resumes.select("resume_id", "user_id", F.lit(True).alias("found"), *columns)
-    return (skew_join(requests, owned, ["resume_id", "user_id"], "left", ["request_id"])
+    return (skew_join(requests, owned, ["resume_id", "user_id"], "left", ["request_id"], hot)
             .withColumn("found", F.coalesce("found", F.lit(False))))
 
 
@@ -64,10 +78,10 @@ def code_verdict(now: Column) -> Column:
     )
 
 
-def with_code(requests: DataFrame, codes: DataFrame) -> DataFrame:
+def with_code(requests: DataFrame, codes: DataFrame, hot=PROBE) -> DataFrame:
     """Redeem requests with their code's row; unknown codes give nulls."""
     state = codes.select("code", "code_id", "total_uses", "used_count", "status", "expires_at")
-    return skew_join(requests, state, ["code"], "left", ["request_id"])
+    return skew_join(requests, state, ["code"], "left", ["request_id"], hot)
 
 
 def validate_codes(requests: DataFrame, codes: DataFrame, now: Column) -> DataFrame:
@@ -91,12 +105,10 @@ def new_rows(candidates: DataFrame, existing: DataFrame, key: str, candidate_id:
     return skew_join(candidates, existing.select(key), [key], "left_anti", [candidate_id])
 
 
-def requests_with_resume(requests: DataFrame, resumes: DataFrame, text: Column) -> DataFrame:
+def requests_with_resume(requests: DataFrame, resumes: DataFrame, text: Column, hot=PROBE) -> DataFrame:
     """Match requests with their resume's text, and why there is none."""
-    from fieldloom.functions.text import is_blank
-
     texts = resumes.select("resume_id", "user_id", text.alias("resume_text"))
-    return owned_resumes(requests, texts, ["resume_text"]).withColumn(
+    return owned_resumes(requests, texts, ["resume_text"], hot).withColumn(
         "resume_verdict",
         F.when(~F.col("found"), "resume_not_found")
         .when(is_blank(F.col("resume_text")), "resume_empty").otherwise("ok"),

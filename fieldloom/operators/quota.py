@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.skew import Timeline
+from fieldloom.operators.skew import PROBE, Timeline
 
 GRANT, USE = 0, 1
 ORDER = ["event_at", "kind", "event_id"]
@@ -26,14 +26,14 @@ def quota_events(grants: DataFrame, uses: DataFrame) -> DataFrame:
         F.col("use_id").alias("event_id"), F.lit(-1).cast("long").alias("delta")))
 
 
-def ledger_timeline(events: DataFrame) -> Timeline:
+def ledger_timeline(events: DataFrame, hot=PROBE) -> Timeline:
     """Events with ``ok`` and the running ``balance``.
 
     Let S be the running sum of deltas and L the lowest S before the row, at
     most 0. Every failed use has lowered L by one, so a use fails exactly when
     S drops below L, and the balance is S less the lower of the two.
     """
-    timeline = Timeline(events, ["user_id"], ORDER).running("running_sum", F.sum, F.col("delta"))
+    timeline = Timeline(events, ["user_id"], ORDER, hot).running("running_sum", F.sum, F.col("delta"))
     timeline.running("running_low", F.min, F.col("running_sum"), inclusive=False)
     low = F.least(F.lit(0), F.coalesce("running_low", F.lit(0)))
     return timeline.derive(
@@ -82,7 +82,7 @@ def quota_attribution(grants: DataFrame, uses: DataFrame) -> Attribution:
     )
     latest = F.when(F.col("kind") == GRANT, F.struct("ordinal", "event_id"))
     drawn = (
-        Timeline(placed, ["user_id"], ["ordinal", "kind", "event_id"])
+        Timeline(placed, ["user_id"], ["ordinal", "kind", "event_id"], ledger.hot)
         .running("_grant", F.max, latest).rows().filter(F.col("kind") == USE)
         .select(F.col("event_id").alias("use_id"), "user_id", F.col("_grant.event_id").alias("activation_id"))
     )

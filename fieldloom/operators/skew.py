@@ -20,16 +20,19 @@ SALT = "_salt"
 SALTS = "_salts"
 BLOCK = "_block"
 COLD_BLOCK = -1
+# "find the hot keys yourself"; None means that there are none
+PROBE = object()
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
     """Limits, each read from ``spark.fieldloom.skew.<name>`` when set."""
 
-    probeBytes: int = 4 << 30      # inputs estimated below this are never probed
+    probeBytes: int = 512 << 20    # inputs estimated below this are never probed
     groupRows: int = 4_000_000     # a key with more rows is split
     pieceRows: int = 1_000_000     # rows per salt or block of a split key
     maxHotKeys: int = 50_000       # bound on what is broadcast about hot keys
+    maxBlocks: int = 10_000        # more rows make larger blocks, not more of them
 
     @classmethod
     def of(cls, spark: SparkSession) -> SkewPolicy:
@@ -91,17 +94,19 @@ def _marked(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> Dat
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
-              spread_by: Sequence[str]) -> DataFrame:
+              spread_by: Sequence[str], hot=PROBE) -> DataFrame:
     """``left.join(right, keys, how)`` where left may hold hot keys.
 
     Rows of a hot key are spread over several tasks by a hash of spread_by, and
     the matching right rows are repeated once per salt. Left drives the result,
-    so ``how`` is inner, left, left_semi or left_anti.
+    so ``how`` is inner, left, left_semi or left_anti. Pass ``hot`` when the
+    hot keys are known from a cheaper table, to save counting left.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} is not driven by the left side")
     keys = list(keys)
-    hot = hot_keys(left, keys)
+    if hot is PROBE:
+        hot = hot_keys(left, keys)
     if hot is None:
         joined = left.join(right, keys, how)
     else:
@@ -138,18 +143,19 @@ class Timeline:
     A key with too many rows is range-partitioned by (key, order) into blocks.
     A running value is then the running value inside the block combined with
     the totals of the key's earlier blocks, so no task ever holds a whole hot
-    key. The block totals number at most blocks + hot keys.
+    key. The block totals number at most blocks + hot keys. As in a join,
+    ``hot`` may come from another table that holds at least the rows of df.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], hot=PROBE):
         self.keys, self.order = list(keys), list(order)
-        hot = hot_keys(df, self.keys)
+        self.hot = hot = hot_keys(df, self.keys) if hot is PROBE else hot
         self.blocked = hot is not None
         if not self.blocked:
             self.df = df
             return
-        piece = SkewPolicy.of(df.sparkSession).pieceRows
-        n_blocks = -(-hot.agg(F.sum(ROWS)).first()[0] // piece)
+        policy = SkewPolicy.of(df.sparkSession)
+        n_blocks = min(-(-hot.agg(F.sum(ROWS)).first()[0] // policy.pieceRows), policy.maxBlocks)
         hot_only = hot.select(*self.keys)
         ranged = durable(
             _marked(df, hot_only.withColumn("_is_hot", F.lit(True)), self.keys, "inner").drop("_is_hot")

@@ -116,6 +116,22 @@ def active_user_gate(t: Tables) -> DataFrame:
     return lookup.active_user_gate(t.deactivations, t.users)
 
 
+@query
+def login_gate(t: Tables) -> DataFrame:
+    return lookup.login_gate(t.registrations.select("request_id", "email"), t.users)
+
+
+@query
+def user_grants(t: Tables) -> DataFrame:
+    return lookup.rows_for(t.user_activations, t.redeem_requests, ["user_id"], "activation_id")
+
+
+@query
+def user_code_grants(t: Tables) -> DataFrame:
+    asked = lookup.with_code(t.redeem_requests, t.activation_codes)
+    return lookup.rows_for(t.user_activations, asked, ["user_id", "code_id"], "activation_id")
+
+
 @query
 def validate_code(t: Tables) -> DataFrame:
     return lookup.validate_codes(t.redeem_requests, t.activation_codes, F.col("requested_at"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.documents import resume_text
 from fieldloom.functions.numbers import ratio
 from fieldloom.operators import lookup, matching, quota
+from fieldloom.operators.skew import hot_keys
 from fieldloom.sources.tables import usage_log_rows
 
 
@@ -25,7 +26,8 @@ def checked_requests(requests: DataFrame, form_fields: DataFrame, resumes: DataF
                      users: DataFrame) -> DataFrame:
     """Requests with the first failure before the model is asked, or ``ok``."""
     gated = lookup.active_user_gate(requests, users)
-    with_resume = lookup.requests_with_resume(gated, resumes, resume_text(F.col("fields")))
+    hot = hot_keys(requests, ["resume_id", "user_id"])
+    with_resume = lookup.requests_with_resume(gated, resumes, resume_text(F.col("fields")), hot)
     checked = matching.with_form_verdict(with_resume, form_fields)
     verdict = (F.when(F.col("gate") != "pass", F.col("gate"))
                .when(F.col("form_verdict") != "ok", F.col("form_verdict"))
@@ -72,7 +74,9 @@ def match_forms(requests: DataFrame, form_fields: DataFrame, resumes: DataFrame,
         "event_at": F.col("requested_at"), "kind": F.lit(quota.USE), "event_id": F.col("request_id"),
         "delta": F.when(succeeded, -1).otherwise(0).cast("long"),
     }), allowMissingColumns=True)
-    charged = quota.ledger_timeline(events).rows().filter(F.col("kind") == quota.USE)
+    # the lookups keep every request, so its users can be counted before them
+    hot = hot_keys(grants.select("user_id").unionByName(requests.select("user_id")), ["user_id"])
+    charged = quota.ledger_timeline(events, hot).rows().filter(F.col("kind") == quota.USE)
     return FormMatching(
         outcomes=charged.select(
             "request_id", "user_id", "outcome", "total_fields", "matched_fields", "success_count",

@@ -254,6 +254,14 @@ _add("active_user_gate", """
     SELECT d.*, CASE WHEN u.user_id IS NULL THEN 'invalid_credentials' WHEN u.status = 'active' THEN 'pass'
         ELSE 'deactivated' END AS gate
     FROM deactivations d LEFT JOIN users u ON u.user_id = d.user_id""")
+_add("login_gate", """
+    SELECT r.request_id, r.email, CASE WHEN u.status = 'active' THEN 'pass' ELSE 'invalid_credentials' END AS gate
+    FROM registrations r LEFT JOIN users u ON u.email = r.email""")
+_add("user_grants", """
+    SELECT * FROM user_activations WHERE user_id IN (SELECT user_id FROM redeem_requests)""")
+_add("user_code_grants", """
+    SELECT * FROM user_activations g WHERE EXISTS (
+      SELECT 1 FROM redeem_state s WHERE s.user_id = g.user_id AND s.code_id = g.code_id)""")
 _add("validate_code", """
     SELECT request_id, user_id, code, requested_at, verdict,
       CASE WHEN verdict = 'valid' THEN total_uses - used_count END AS remaining_uses

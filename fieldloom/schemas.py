@@ -57,6 +57,7 @@ MAX_LENGTHS = {
     ("usage_logs", "website_url"): 500,
 }
 USES_PER_REDEMPTION = 5
+DEFAULT_BATCH_CODES = 10
 DEFAULT_CODE_USES = 5
 DEFAULT_CODE_DAYS = 30
 CODE_LENGTH = 16
