@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.lookup import new_rows
 from fieldloom.operators.resumes import touched
-from fieldloom.operators.skew import first_rows, skew_join
+from fieldloom.operators.skew import first_rows, shared, skew_join
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,8 @@ def register_users(users: DataFrame, requests: DataFrame) -> AccountChanges:
     Per email the earliest request wins, and only when the email is not taken.
     The request id becomes the user id.
     """
-    fresh = new_rows(first_rows(requests, ["email"], ["requested_at", "request_id"]), users, "email", "request_id")
+    fresh = shared(new_rows(
+        first_rows(requests, ["email"], ["requested_at", "request_id"]), users, "email", "request_id"))
     created = fresh.select(
         F.col("request_id").alias("user_id"), "email", "password_hash", F.lit("active").alias("status"),
         F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
@@ -60,9 +61,9 @@ def update_users(users: DataFrame, requests: DataFrame) -> AccountChanges:
     granted = new_rows(
         first_rows(claims, ["email"], ["requested_at", "request_id"]), users, "email", "user_id",
     ).select("user_id", F.col("email").alias("_granted"))
-    settled = known.join(granted, "user_id", "left").withColumn(
+    settled = shared(known.join(granted, "user_id", "left").withColumn(
         "_conflict", F.col("_email.v").isNotNull() & (F.col("_email.v") != F.col("_current"))
-        & F.col("_granted").isNull())
+        & F.col("_granted").isNull()))
     verdict = (F.when(F.col("_current").isNull(), "not_found")
                .when(F.col("_conflict"), "email_conflict").otherwise("ok"))
     state = users.join(settled.drop("_current"), "user_id", "left").withColumns({

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.skew import PROBE, Timeline
+from fieldloom.operators.skew import PROBE, Timeline, shared
 
 GRANT, USE = 0, 1
 ORDER = ["event_at", "kind", "event_id"]
@@ -81,7 +81,7 @@ def quota_attribution(grants: DataFrame, uses: DataFrame) -> Attribution:
                 .otherwise(F.col("_granted") - F.col("delta") + 1).alias("ordinal"))
     )
     latest = F.when(F.col("kind") == GRANT, F.struct("ordinal", "event_id"))
-    drawn = (
+    drawn = shared(
         Timeline(placed, ["user_id"], ["ordinal", "kind", "event_id"], ledger.hot)
         .running("_grant", F.max, latest).rows().filter(F.col("kind") == USE)
         .select(F.col("event_id").alias("use_id"), "user_id", F.col("_grant.event_id").alias("activation_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom import dimensions, schemas
 from fieldloom.functions import documents as docs
 from fieldloom.operators.lookup import owned_resumes
-from fieldloom.operators.skew import Timeline, skew_join
+from fieldloom.operators.skew import Timeline, shared, skew_join
 
 # Spark prunes a per-key ranking before the shuffle up to this many rows per key.
 PRUNED_RANKS = 1000
@@ -158,7 +158,7 @@ def touched(state: DataFrame, at: Column) -> dict[str, Column]:
 def delete_resumes(resumes: DataFrame, requests: DataFrame) -> Changes:
     """Remove owned resumes; the first request finds it, later ones do not."""
     wanted = requests.groupBy("resume_id", "user_id").agg(F.min(F.struct(*_LATEST)).alias("first"))
-    owned = wanted.join(resumes.select("resume_id", "user_id"), ["resume_id", "user_id"], "left_semi")
+    owned = shared(wanted.join(resumes.select("resume_id", "user_id"), ["resume_id", "user_id"], "left_semi"))
     survivors = resumes.join(owned.select("resume_id", "user_id"), ["resume_id", "user_id"], "left_anti")
     done = owned.select(F.col("first.request_id").alias("request_id"), F.lit(True).alias("_done"))
     verdict = F.when(F.col("_done"), "ok").otherwise("not_found")

@@ -56,6 +56,16 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """A result that several outputs read: computed once and kept when its inputs are large.
+
+    Small inputs are cheaper to compute again than to write.
+    """
+    size = estimated_bytes(df)
+    small = size is not None and size < SkewPolicy.of(df.sparkSession).probeBytes
+    return df if small else durable(df)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys of df with too many rows for one task, with their row counts.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.documents import resume_text
 from fieldloom.functions.numbers import ratio
 from fieldloom.operators import lookup, matching, quota
-from fieldloom.operators.skew import hot_keys
+from fieldloom.operators.skew import hot_keys, shared
 from fieldloom.sources.tables import usage_log_rows
 
 
@@ -63,7 +63,8 @@ def match_forms(requests: DataFrame, form_fields: DataFrame, resumes: DataFrame,
     through the quota timeline themselves, failed ones with a charge of 0, so
     no charge has to be joined back.
     """
-    judged = judged_requests(checked_requests(requests, form_fields, resumes, users), answers)
+    checked = checked_requests(requests, form_fields, resumes, users)
+    judged = shared(judged_requests(checked, answers).drop("resume_text"))
     succeeded = F.col("outcome") == "ok"
     counted = judged.select(
         "request_id", "user_id", "website_url", "requested_at", "outcome",
