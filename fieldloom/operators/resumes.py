@@ -190,13 +190,18 @@ def edit_fields(resumes: DataFrame, edits: DataFrame) -> Changes:
     ).select(*resume, "request_id", F.col("entry.key").alias("key"), F.col("entry.value").alias("value"),
              "is_set", F.struct("requested_at", "request_id", "pos").alias("step"))
     per_key = [*resume, "key"]
-    deleted = steps.groupBy(*per_key).agg(F.max(F.when(~F.col("is_set"), F.col("step"))).alias("_deleted"))
-    standing = skew_join(steps, deleted, per_key, "left", ["request_id"]).filter(
-        F.col("is_set") & (F.col("_deleted").isNull() | (F.col("step") > F.col("_deleted"))))
-    sets = standing.groupBy(*per_key).agg(
-        F.max_by("value", "step").alias("value"), F.min("step").alias("place"))
-    reduced = deleted.join(sets, per_key, "left").groupBy(*resume).agg(
-        F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "key", "value"))).alias("_sets"),
+    last = F.max(F.struct("step", "is_set", "value")).alias("_last")
+    reduced = steps.groupBy(*per_key).agg(
+        last, F.max(F.when(~F.col("is_set"), F.col("step"))).alias("_deleted"),
+        F.min(F.when(F.col("is_set"), F.col("step"))).alias("_first"))
+    # only keys deleted and set again later have a place that this pass cannot tell
+    returned = reduced.filter(F.col("_deleted").isNotNull() & F.col("_last.is_set")).select(*per_key, "_deleted")
+    again = (skew_join(steps.filter("is_set"), returned, per_key, "inner", ["request_id"])
+             .filter(F.col("step") > F.col("_deleted")).groupBy(*per_key).agg(F.min("step").alias("_again")))
+    place = F.coalesce("_again", "_first").alias("place")
+    patches = reduced.join(again, per_key, "left").groupBy(*resume).agg(
+        F.collect_list(F.when(F.col("_last.is_set"), F.struct(place, "key", F.col("_last.value").alias("value"))))
+        .alias("_sets"),
         F.collect_list(F.when(F.col("_deleted").isNotNull(), F.col("key"))).alias("_dropped"),
     )
     latest = edits.groupBy(*resume).agg(
@@ -209,7 +214,7 @@ def edit_fields(resumes: DataFrame, edits: DataFrame) -> Changes:
     changed = F.map_entries("_next") != F.map_entries("fields")
     at = F.greatest(F.col("_merged_at"), F.when(changed, F.col("_deleted_at")))
     state = (
-        resumes.join(reduced, resume, "left").join(latest, resume, "left")
+        resumes.join(patches, resume, "left").join(latest, resume, "left")
         .withColumn("_next", F.when(F.col("_sets").isNull(), F.col("fields")).otherwise(fields))
         .withColumns({"fields": F.col("_next"), **touched(resumes, at)})
         .select(*resumes.columns)

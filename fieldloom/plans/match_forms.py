@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.documents import resume_text
@@ -14,12 +14,60 @@ from fieldloom.operators.skew import hot_keys, shared
 from fieldloom.sources.tables import usage_log_rows
 
 
-@dataclass(frozen=True)
 class FormMatching:
-    outcomes: DataFrame   # every request: outcome, counts, rate, whether a use was charged
-    matches: DataFrame    # valid matches of successful requests, long form
-    logs: DataFrame       # usage log rows to append
-    ledger: DataFrame     # the quota verdict of each charge
+    """Requests with their outcome and matches, and the outputs that follow from them."""
+
+    def __init__(self, judged: DataFrame, requests: DataFrame, grants: DataFrame):
+        self._judged, self._requests, self._grants = judged, requests, grants
+        self._succeeded = F.col("outcome") == "ok"
+
+    @cached_property
+    def _counted(self) -> DataFrame:
+        def counted(count: Column) -> Column:
+            return F.when(self._succeeded, count).otherwise(0)
+
+        return self._judged.select(
+            "request_id", "user_id", "website_url", "requested_at", "outcome",
+            F.col("n_fields").alias("total_fields"),
+            counted(matching.success_count(F.col("matches"))).alias("success_count"),
+            counted(matching.matched_fields(F.col("matches"))).alias("matched_fields"))
+
+    @cached_property
+    def _charged(self) -> DataFrame:
+        """The requests run through the quota timeline themselves, failed ones with a
+        charge of 0, so no charge has to be joined back."""
+        events = quota.grant_events(self._grants).unionByName(self._counted.withColumns({
+            "event_at": F.col("requested_at"), "kind": F.lit(quota.USE), "event_id": F.col("request_id"),
+            "delta": F.when(self._succeeded, -1).otherwise(0).cast("long"),
+        }), allowMissingColumns=True)
+        # the lookups keep every request, so its users can be counted before them
+        users = self._grants.select("user_id").unionByName(self._requests.select("user_id"))
+        timeline = quota.ledger_timeline(events, hot_keys(users, ["user_id"]))
+        return timeline.rows().filter(F.col("kind") == quota.USE)
+
+    @property
+    def outcomes(self) -> DataFrame:
+        """Every request: outcome, counts, rate, and whether a use was charged."""
+        return self._charged.select(
+            "request_id", "user_id", "outcome", "total_fields", "matched_fields", "success_count",
+            ratio(F.col("matched_fields"), F.col("total_fields")).alias("match_rate"),
+            (self._succeeded & F.col("ok")).alias("charged"))
+
+    @property
+    def ledger(self) -> DataFrame:
+        """The quota verdict of each charge."""
+        return self._charged.filter(self._succeeded).select(
+            F.col("request_id").alias("use_id"), "user_id", F.col("requested_at").alias("used_at"), "ok", "balance")
+
+    @property
+    def matches(self) -> DataFrame:
+        """Valid matches of successful requests, long form."""
+        return matching.match_rows(self._judged.filter(self._succeeded))
+
+    @property
+    def logs(self) -> DataFrame:
+        """Usage log rows to append."""
+        return usage_log_rows(self._counted.filter(self._succeeded))
 
 
 def checked_requests(requests: DataFrame, form_fields: DataFrame, resumes: DataFrame,
@@ -59,32 +107,7 @@ def match_forms(requests: DataFrame, form_fields: DataFrame, resumes: DataFrame,
     """Outcome of every request, given the model's answers.
 
     A request that fails before the log writes no log and is charged nothing.
-    A charge that finds no use left does not undo the match. The requests run
-    through the quota timeline themselves, failed ones with a charge of 0, so
-    no charge has to be joined back.
+    A charge that finds no use left does not undo the match.
     """
     checked = checked_requests(requests, form_fields, resumes, users)
-    judged = shared(judged_requests(checked, answers).drop("resume_text"))
-    succeeded = F.col("outcome") == "ok"
-    counted = judged.select(
-        "request_id", "user_id", "website_url", "requested_at", "outcome",
-        F.col("n_fields").alias("total_fields"),
-        F.when(succeeded, matching.success_count(F.col("matches"))).otherwise(0).alias("success_count"),
-        F.when(succeeded, matching.matched_fields(F.col("matches"))).otherwise(0).alias("matched_fields"))
-    events = quota.grant_events(grants).unionByName(counted.withColumns({
-        "event_at": F.col("requested_at"), "kind": F.lit(quota.USE), "event_id": F.col("request_id"),
-        "delta": F.when(succeeded, -1).otherwise(0).cast("long"),
-    }), allowMissingColumns=True)
-    # the lookups keep every request, so its users can be counted before them
-    hot = hot_keys(grants.select("user_id").unionByName(requests.select("user_id")), ["user_id"])
-    charged = quota.ledger_timeline(events, hot).rows().filter(F.col("kind") == quota.USE)
-    return FormMatching(
-        outcomes=charged.select(
-            "request_id", "user_id", "outcome", "total_fields", "matched_fields", "success_count",
-            ratio(F.col("matched_fields"), F.col("total_fields")).alias("match_rate"),
-            (succeeded & F.col("ok")).alias("charged")),
-        matches=matching.match_rows(judged.filter(succeeded)),
-        logs=usage_log_rows(counted.filter(succeeded)),
-        ledger=charged.filter(succeeded).select(
-            F.col("request_id").alias("use_id"), "user_id", F.col("requested_at").alias("used_at"), "ok", "balance"),
-    )
+    return FormMatching(shared(judged_requests(checked, answers).drop("resume_text")), requests, grants)
