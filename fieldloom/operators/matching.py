@@ -44,6 +44,9 @@ PROMPT_TEMPLATE = """
 ]
 """
 
+# The words of a form field's descriptor.
+NAME_WORD, LABEL_WORD, PLACEHOLDER_WORD, TYPE_WORD, OPTIONS_WORD = "字段名", "标签", "占位符", "类型", "选项"
+
 
 # --- checking requests -------------------------------------------------------
 
@@ -132,13 +135,16 @@ def validate_form_fields(requests: DataFrame, form_fields: DataFrame) -> DataFra
 
 def field_descriptor(name: Column, type_: Column, label: Column, placeholder: Column, options: Column) -> Column:
     """One line on a form field; label, placeholder and options only when not empty."""
-    def part(title: str, value: Column) -> Column:
-        return F.coalesce(F.when(value != "", F.concat(F.lit(f", {title}: "), value)), F.lit(""))
+    def part(word: str, value: Column) -> Column:
+        return F.concat(F.lit(f", {word}: "), value)
+
+    def optional(word: str, value: Column, present: Column) -> Column:
+        return F.coalesce(F.when(present, part(word, value)), F.lit(""))
 
-    listed = F.when(F.size(options) > 0, list_literal(options))
     return F.concat(
-        F.lit("字段名: "), name, part("标签", label), part("占位符", placeholder),
-        F.lit(", 类型: "), type_, part("选项", listed))
+        F.lit(f"{NAME_WORD}: "), name, optional(LABEL_WORD, label, label != ""),
+        optional(PLACEHOLDER_WORD, placeholder, placeholder != ""), part(TYPE_WORD, type_),
+        optional(OPTIONS_WORD, list_literal(options), F.size(options) > 0))
 
 
 def describe_fields(form_fields: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ rows and the operators on top of them are what a comparison tests.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,14 +204,19 @@ def _star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.read_table(spark, f"{sf_dir}/{name}.parquet", STAR_SCHEMAS[name])
 
 
+def _select(spark: SparkSession, name: str, source_rows: Callable[[str], DataFrame]) -> DataFrame:
+    """A definition's SQL over the given rows of its source; its JSON braces are plain text."""
+    text = dialect(VIEWS[name], "spark")
+    source = text.split()[-1]
+    text = text.replace("{", "{{").replace("}", "}}").replace(f"FROM {source}", "FROM {rows}")
+    return spark.sql(text, rows=source_rows(source))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table as raw rows."""
     if name in LINE_VIEWS:
         return {"form_fields": form_fields, "quota_uses": quota_uses}[name](spark, sf_dir)
-    text = dialect(VIEWS[name], "spark")
-    source = text.split()[-1]
-    _star(spark, sf_dir, source).createOrReplaceTempView(f"star_{source}")
-    return spark.sql(text.replace(f"FROM {source}", f"FROM star_{source}"))
+    return _select(spark, name, lambda source: _star(spark, sf_dir, source))
 
 
 def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,8 +266,5 @@ def usage_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a stream over its source file."""
-    text = dialect(VIEWS[name], "spark")
-    source = text.split()[-1]
-    tables.stream_table(spark, sf_dir, STAR_SCHEMAS[source], pathGlobFilter=f"{source}.parquet").createOrReplaceTempView(
-        f"star_stream_{source}")
-    return spark.sql(text.replace(f"FROM {source}", f"FROM star_stream_{source}"))
+    return _select(spark, name, lambda source: tables.stream_table(
+        spark, sf_dir, STAR_SCHEMAS[source], pathGlobFilter=f"{source}.parquet"))
