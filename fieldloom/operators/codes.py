@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import schemas
 from fieldloom.operators.lookup import new_rows, with_code
-from fieldloom.operators.skew import Timeline, first_rows, hot_keys, shared, skew_join
+from fieldloom.operators.skew import Running, Timeline, first_rows, hot_keys, shared, skew_join
 
 ORDER = ["requested_at", "request_id"]
 # Fixed value: the characters of a code.
@@ -43,7 +43,7 @@ def redeem_codes(requests: DataFrame, codes: DataFrame, grants: DataFrame) -> Re
         joined.filter(usable).select("request_id", "user_id", "requested_at", "code", "code_id", "_room"),
         ["user_id", "code_id"], ORDER,
     ).join(held, ["user_id", "code_id"], "left_anti")
-    numbered = Timeline(candidates, ["code"], ORDER, hot).running("_place", F.sum, F.lit(1)).rows()
+    numbered = Timeline(candidates, ["code"], ORDER, hot).running(Running("_place", F.sum, F.lit(1))).rows()
     granted = shared(numbered.filter(F.col("_place") <= F.col("_room")))
     closings = granted.filter(F.col("_place") == F.col("_room")).select(
         "code", F.struct(*ORDER).alias("_closing"))

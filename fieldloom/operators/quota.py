@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.skew import PROBE, Timeline, shared
+from fieldloom.operators.skew import PROBE, Running, Timeline, shared
 
 GRANT, USE = 0, 1
 ORDER = ["event_at", "kind", "event_id"]
@@ -33,8 +33,9 @@ def ledger_timeline(events: DataFrame, hot=PROBE) -> Timeline:
     most 0. Every failed use has lowered L by one, so a use fails exactly when
     S drops below L, and the balance is S less the lower of the two.
     """
-    timeline = Timeline(events, ["user_id"], ORDER, hot).running("running_sum", F.sum, F.col("delta"))
-    timeline.running("running_low", F.min, F.col("running_sum"), inclusive=False)
+    timeline = Timeline(events, ["user_id"], ORDER, hot)
+    timeline.running(Running("running_sum", F.sum, F.col("delta"))).keep()
+    timeline.running(Running("running_low", F.min, F.col("running_sum"), inclusive=False))
     low = F.least(F.lit(0), F.coalesce("running_low", F.lit(0)))
     return timeline.derive(
         ok=F.col("running_sum") >= low,
@@ -71,8 +72,8 @@ def quota_attribution(grants: DataFrame, uses: DataFrame) -> Attribution:
     """
     covered = F.when((F.col("kind") == USE) & F.col("ok"), 1).otherwise(0)
     granted = F.when(F.col("kind") == GRANT, F.col("delta")).otherwise(F.lit(0))
-    ledger = ledger_timeline(quota_events(grants, uses))
-    ledger.running("_uses", F.sum, covered).running("_granted", F.sum, granted)
+    ledger = ledger_timeline(quota_events(grants, uses)).keep()
+    ledger.running(Running("_uses", F.sum, covered), Running("_granted", F.sum, granted)).keep()
     placed = (
         ledger.rows()
         .filter(F.when(F.col("kind") == USE, F.col("ok")).otherwise(F.col("delta") > 0))
@@ -83,7 +84,7 @@ def quota_attribution(grants: DataFrame, uses: DataFrame) -> Attribution:
     latest = F.when(F.col("kind") == GRANT, F.struct("ordinal", "event_id"))
     drawn = shared(
         Timeline(placed, ["user_id"], ["ordinal", "kind", "event_id"], ledger.hot)
-        .running("_grant", F.max, latest).rows().filter(F.col("kind") == USE)
+        .running(Running("_grant", F.max, latest)).rows().filter(F.col("kind") == USE)
         .select(F.col("event_id").alias("use_id"), "user_id", F.col("_grant.event_id").alias("activation_id"))
     )
     counts = drawn.groupBy("activation_id").agg(F.count(F.lit(1)).alias("_drawn"))

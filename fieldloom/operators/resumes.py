@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom import dimensions, schemas
 from fieldloom.functions import documents as docs
 from fieldloom.operators.lookup import owned_resumes
-from fieldloom.operators.skew import Timeline, shared, skew_join
+from fieldloom.operators.skew import Running, Timeline, shared, skew_join
 
 # Spark prunes a per-key ranking before the shuffle up to this many rows per key.
 PRUNED_RANKS = 1000
@@ -39,7 +39,7 @@ def resume_page(resumes: DataFrame, skip: int = 0, limit: int = schemas.DEFAULT_
         age = -(age if dict(items.dtypes)[newest_by] == "bigint" else F.unix_micros(age.cast("timestamp")))
         ranked = (
             Timeline(items.withColumn("_age", F.coalesce(age, F.lit(2**63 - 1))), ["user_id"], ["_age", "resume_id"])
-            .running("position", F.sum, F.lit(1)).rows().drop("_age"))
+            .running(Running("position", F.sum, F.lit(1))).rows().drop("_age"))
     page = ranked.filter((F.col("position") <= skip + limit) & (F.col("position") > skip))
     return page.withColumn("position", F.col("position").cast("int"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ ROWS = "_key_rows"
 SALT = "_salt"
 SALTS = "_salts"
 BLOCK = "_block"
-COLD_BLOCK = -1
 # "find the hot keys yourself"; None means that there are none
 PROBE = object()
 
@@ -147,6 +147,15 @@ _COMBINE = {
 }
 
 
+class Running(NamedTuple):
+    """A running sum, min or max: of the rows up to this one, or of those before it."""
+
+    name: str
+    fn: Callable[[Column], Column]
+    value: Column
+    inclusive: bool = True
+
+
 class Timeline:
     """Rows in a total order within each key, ready for running aggregates.
 
@@ -159,50 +168,60 @@ class Timeline:
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], hot=PROBE):
         self.keys, self.order = list(keys), list(order)
-        self.hot = hot = hot_keys(df, self.keys) if hot is PROBE else hot
-        self.blocked = hot is not None
-        if not self.blocked:
-            self.df = df
+        self.hot = hot_keys(df, self.keys) if hot is PROBE else hot
+        self.plain, self.blocks = df, None
+        if self.hot is None:
             return
         policy = SkewPolicy.of(df.sparkSession)
-        n_blocks = min(-(-hot.agg(F.sum(ROWS)).first()[0] // policy.pieceRows), policy.maxBlocks)
-        hot_only = hot.select(*self.keys)
-        ranged = durable(
-            _marked(df, hot_only.withColumn("_is_hot", F.lit(True)), self.keys, "inner").drop("_is_hot")
+        n_blocks = min(-(-self.hot.agg(F.sum(ROWS)).first()[0] // policy.pieceRows), policy.maxBlocks)
+        hot_only = self.hot.select(*self.keys)
+        self.plain = _marked(df, hot_only, self.keys, "left_anti")
+        self.blocks = durable(
+            _marked(df, hot_only, self.keys, "left_semi")
             .repartitionByRange(n_blocks, *self.keys, *self.order)
             .withColumn(BLOCK, F.spark_partition_id())
         )
-        cold = _marked(df, hot_only, self.keys, "left_anti").withColumn(BLOCK, F.lit(COLD_BLOCK))
-        self.df = cold.unionByName(ranged)
 
     def derive(self, **columns: Column) -> Timeline:
         """Add row-level columns."""
-        self.df = self.df.withColumns(columns)
+        self.plain = self.plain.withColumns(columns)
+        if self.blocks is not None:
+            self.blocks = self.blocks.withColumns(columns)
         return self
 
-    def running(self, name: str, fn: Callable[[Column], Column], value: Column,
-                inclusive: bool = True) -> Timeline:
-        """Add the running sum, min or max of value; null before the first row."""
-        combine = _COMBINE[fn]
-        groups = [*self.keys, BLOCK] if self.blocked else self.keys
-        frame = (Window.partitionBy(*groups).orderBy(*self.order)
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
-        source = self.df
-        self.df = source.withColumn(name, fn(value).over(frame))
-        if not self.blocked:
-            return self
+    def keep(self) -> Timeline:
+        """Materialise the blocks, where later running values would compute them again."""
+        if self.blocks is not None:
+            self.blocks = durable(self.blocks)
+        return self
+
+    def running(self, *wanted: Running) -> Timeline:
+        """Add running values; null where no row has counted yet."""
+        self.plain = self._within(self.plain, self.keys, wanted)
+        if self.blocks is not None:
+            groups = [*self.keys, BLOCK]
+            carried = self._carried(groups, wanted)
+            joined = _marked(self._within(self.blocks, groups, wanted), carried, groups, "left")
+            self.blocks = joined.withColumns({
+                w.name: _COMBINE[w.fn](F.col(w.name), F.col("_carried_" + w.name)) for w in wanted
+            }).drop(*["_carried_" + w.name for w in wanted])
+        return self
+
+    def _within(self, df: DataFrame, groups: Sequence[str], wanted: Sequence[Running]) -> DataFrame:
+        ordered = Window.partitionBy(*groups).orderBy(*self.order)
+        return df.withColumns({
+            w.name: w.fn(w.value).over(ordered.rowsBetween(
+                Window.unboundedPreceding, Window.currentRow if w.inclusive else -1)) for w in wanted})
+
+    def _carried(self, groups: Sequence[str], wanted: Sequence[Running]) -> DataFrame:
+        """Per block the totals of the key's earlier blocks."""
         earlier = (Window.partitionBy(*self.keys).orderBy(BLOCK)
                    .rowsBetween(Window.unboundedPreceding, -1))
-        carried = (
-            source.filter(F.col(BLOCK) > COLD_BLOCK)
-            .groupBy(*groups).agg(fn(value).alias("_total"))
-            .withColumn("_carried", fn(F.col("_total")).over(earlier)).drop("_total")
-        )
-        self.df = (
-            _marked(self.df, carried, groups, "left")
-            .withColumn(name, combine(F.col(name), F.col("_carried"))).drop("_carried")
-        )
-        return self
+        totals = self.blocks.groupBy(*groups).agg(*[w.fn(w.value).alias(w.name) for w in wanted])
+        return totals.select(*groups, *[
+            w.fn(F.col(w.name)).over(earlier).alias("_carried_" + w.name) for w in wanted])
 
     def rows(self) -> DataFrame:
-        return self.df.drop(BLOCK)
+        if self.blocks is None:
+            return self.plain
+        return self.plain.unionByName(self.blocks.drop(BLOCK))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators.skew import Timeline
+from fieldloom.operators.skew import Running, Timeline
 from fieldloom.sources import tables
 
 VIEWS = {
@@ -222,7 +222,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _star(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", *[c for c in LINE_ORDER if c != "l_suppkey"])
-    return Timeline(lines, ["l_orderkey"], list(LINE_ORDER)).running("pos", F.sum, F.lit(1)).rows()
+    return Timeline(lines, ["l_orderkey"], list(LINE_ORDER)).running(Running("pos", F.sum, F.lit(1))).rows()
 
 
 def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

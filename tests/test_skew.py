@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from fieldloom.operators.skew import Timeline, estimated_bytes, hot_keys, skew_join
+from fieldloom.operators.skew import Running, Timeline, estimated_bytes, hot_keys, skew_join
 from fieldloom.sources import derived
 
 
@@ -77,16 +77,14 @@ def test_join_rejects_right_driven_types(left, right):
 
 def running(df):
     timeline = Timeline(df, ["k"], ["t", "id"])
-    timeline.running("s", F.sum, F.col("v"))
-    timeline.running("before", F.sum, F.col("v"), inclusive=False)
-    timeline.running("low", F.min, F.col("s"), inclusive=False)
-    timeline.running("top", F.max, F.struct("v", "id"))
-    return timeline
+    timeline.running(Running("s", F.sum, F.col("v")), Running("before", F.sum, F.col("v"), inclusive=False)).keep()
+    return timeline.running(
+        Running("low", F.min, F.col("s"), inclusive=False), Running("top", F.max, F.struct("v", "id")))
 
 
 def test_running_aggregates(spark, left, tiny_limits):
     split = running(left)
-    assert split.blocked
+    assert split.blocks is not None
     expected, sums, lows, tops = [], {}, {}, {}
     for i, k, t, v in sorted(skewed_rows(), key=lambda r: (r[2], r[0])):
         before, low = sums.get(k), lows.get(k)
@@ -100,6 +98,6 @@ def test_running_aggregates(spark, left, tiny_limits):
 
 def test_blocks_are_small(left, tiny_limits):
     timeline = Timeline(left, ["k"], ["t", "id"])
-    sizes = timeline.df.filter("_block >= 0").groupBy("k", "_block").count()
-    biggest = sizes.agg(F.max("count")).first()[0]
-    assert biggest < 60  # key 0 alone has about 160 rows
+    sizes = timeline.blocks.groupBy("k", "_block").count()
+    assert sizes.agg(F.max("count")).first()[0] < 60  # key 0 alone has about 160 rows
+    assert timeline.plain.filter("k = 0 OR k IS NULL").isEmpty()
