@@ -24,7 +24,17 @@ def each_batch(stream: DataFrame, folder: str, step: Callable[[DataFrame, int],
     """Run step on every micro-batch.
 
     A batch may be run again after a failure, so step must write only folders
-    named by its batch id and overwrite them.
+    named by its batch id and overwrite them. Streams plan without adaptive
+    execution; what a step does is bulk work and gets it.
     """
-    run_available(stream.writeStream.outputMode(mode).foreachBatch(step)
+    def bulk(batch: DataFrame, batch_id: int) -> None:
+        conf = batch.sparkSession.conf
+        before = conf.get("spark.sql.adaptive.enabled")
+        conf.set("spark.sql.adaptive.enabled", "true")
+        try:
+            step(batch, batch_id)
+        finally:
+            conf.set("spark.sql.adaptive.enabled", before)
+
+    run_available(stream.writeStream.outputMode(mode).foreachBatch(bulk)
                   .option("checkpointLocation", f"{folder}/checkpoint"))

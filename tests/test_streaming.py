@@ -80,3 +80,12 @@ def test_match_stats(spark, folder):
     expected = logs.groupBy("user_id").agg({"*": "count", "fields_count": "sum", "success_count": "sum"}).collect()
     assert {r.user_id: (r.total_uses, r.total_fields, r.total_successes) for r in got.collect()} == {
         r["user_id"]: (r["count(1)"], r["sum(fields_count)"], r["sum(success_count)"]) for r in expected}
+
+
+def test_steps_run_with_adaptive_execution(spark, folder):
+    seen = []
+    tables.append_table(spark.range(5), f"{folder}/landing")
+    stream = tables.stream_table(spark, f"{folder}/landing", "id long")
+    runs.each_batch(stream, folder, lambda batch, _: seen.append(
+        (batch.count(), batch.sparkSession.conf.get("spark.sql.adaptive.enabled"))))
+    assert seen == [(5, "true")]
