@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.exact_dedup import digest_verdicts
+from fieldloom.llm.langid import identify, in_fold, train
+from fieldloom.llm.packing import pack
 from fieldloom.llm.sharding import byte_shards
 from fieldloom.llm.warc import archive_round_trip
 
@@ -32,10 +34,26 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"), keep_ids=False)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens",
+                         "sequence_id", "offset", "source", "window")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = in_fold("doc_id")
+    model = train(docs.filter(~held_out), "doc_id", "text", "lang")
+    return (identify(docs.select("doc_id", "text"), model)
+            .select("doc_id", in_fold("doc_id").alias("held_out"), "lang_pred", "score"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
+    "op9_language_id": op9_language_id,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
