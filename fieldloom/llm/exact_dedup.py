@@ -71,6 +71,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        # names only: whether a field may be null differs between batches
+        batch = pa.RecordBatch.from_arrays(batch.columns, names=_ENTRY.names)
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         digest = np.frombuffer(b"".join(table.column("digest").to_pylist()), np.uint8).reshape(-1, 32)
         differs = (digest[1:] != digest[:-1]).any(axis=1)
@@ -80,10 +82,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], differs)))
         last = np.append(first[1:], table.num_rows) - 1
         n = np.add.reduceat(table.column("n").to_numpy(), first)
-        merged = table.take(pa.array(last)).set_column(table.schema.get_field_index("n"), "n", pa.array(n))
-        batches_out = merged.combine_chunks().to_batches()[0]
-        yield batches_out.slice(0, merged.num_rows - 1)
-        held = batches_out.slice(merged.num_rows - 1)
+        merged = table.take(pa.array(last)).set_column(_ENTRY.names.index("n"), "n", pa.array(n))
+        merged = merged.combine_chunks().to_batches()[0]
+        yield merged.slice(0, merged.num_rows - 1)
+        held = merged.slice(merged.num_rows - 1)
     if held is not None:
         yield held
 
