@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.exact_dedup import digest_verdicts
 from fieldloom.llm.langid import identify, in_fold, train
+from fieldloom.llm.near_dedup import near_duplicates
 from fieldloom.llm.packing import pack
 from fieldloom.llm.sharding import byte_shards
 from fieldloom.llm.warc import archive_round_trip
@@ -22,6 +23,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+    return verdicts.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
+                           F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages")).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,6 +57,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
