@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.decontaminate import contamination
 from fieldloom.llm.exact_dedup import digest_verdicts
 from fieldloom.llm.langid import identify, in_fold, train
+from fieldloom.llm.materialize import training_order
 from fieldloom.llm.near_dedup import near_duplicates
 from fieldloom.llm.packing import pack
 from fieldloom.llm.sharding import byte_shards
@@ -41,6 +43,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return verdicts.withColumnRenamed("id", "doc_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"), keep_ids=False)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens",
@@ -55,13 +62,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", in_fold("doc_id").alias("held_out"), "lang_pred", "score"))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(_table(spark, sf_dir, "documents"), key=2024).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op9_language_id": op9_language_id,
+    "op10_training_order": op10_training_order,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
