@@ -11,6 +11,7 @@ from fieldloom.llm.langid import identify, in_fold, train
 from fieldloom.llm.materialize import training_order
 from fieldloom.llm.near_dedup import near_duplicates
 from fieldloom.llm.packing import pack
+from fieldloom.llm.pii import BASE_KINDS, masked_counts, personal_spans, span_list
 from fieldloom.llm.sharding import byte_shards
 from fieldloom.llm.warc import archive_round_trip
 
@@ -54,6 +55,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "source", "window")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(_table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
+        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    return found.select(
+        F.col("id").alias("doc_id"), *[masked_counts(F.col("base"), k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(every).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = in_fold("doc_id")
@@ -73,6 +83,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_training_order": op10_training_order,
 }
