@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import stored
 
+BLOCK = 512     # rows of a bucket compared at once
+
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b), either direction, to (node, root): the smallest node of each component.
@@ -42,3 +46,45 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
         smallest.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes(uid) with the smallest node of its component under links(a, b)."""
+    linked = components(links)
+    return nodes.join(linked, nodes["uid"] == linked["node"], "left").select(
+        "uid", F.coalesce("root", "uid").alias("root"))
+
+
+def open_blocks(rows: DataFrame, facts: DataFrame, links: DataFrame, near) -> DataFrame:
+    """Pairs(a, b) of rows(bucket, band, uid) that a star around each bucket's smallest uid has not settled.
+
+    A bucket is settled when all its uids are in one component: further links
+    inside it could change nothing. In the others, uids outside the bucket's
+    largest component meet those of other components, piece by piece inside
+    tasks; pairs are not expanded. ``near`` takes the columns of a piece as
+    numpy arrays (facts, uid, root, band, left) and returns the index pairs
+    (left row, other row) to keep.
+    """
+    rooted = stored(rows.join(roots(rows.select("uid").distinct(), links), "uid"), "rooted")
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    unsettled = (sizes.groupBy("bucket").agg(
+        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
+        # of two uids the star has compared the only pair
+        .filter("parts > 1 and size > 2").select("bucket", F.col("top.root").alias("main"), "size"))
+    pieces = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_ = (rooted.join(unsettled, "bucket").withColumn("pieces", pieces)
+             .withColumn("piece", F.pmod(F.xxhash64("uid"), F.col("pieces")).cast("int")).join(facts, "uid"))
+    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    columns = ["bucket", "lp", "rp", "left", "band", "root", *facts.columns]
+    right = open_.withColumns({"rp": F.col("piece"), "left": F.lit(False)}).withColumn("lp", every).select(columns)
+    left = (open_.filter("root <> main").withColumns({"lp": F.col("piece"), "left": F.lit(True)})
+            .withColumn("rp", every).select(columns))
+
+    def compare(table):
+        rows = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "uid", "root", "band")}
+        rows |= {c: table.column(c).to_pylist() for c in table.column_names if c not in rows}
+        a, b = near(rows) if rows["left"].any() and not rows["left"].all() else (np.zeros(0, int),) * 2
+        a, b = rows["uid"][a], rows["uid"][b]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return (right.unionByName(left).groupBy("bucket", "lp", "rp").applyInArrow(compare, "a long, b long").distinct())

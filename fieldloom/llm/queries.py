@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.decontaminate import contamination
 from fieldloom.llm.exact_dedup import digest_verdicts
 from fieldloom.llm.langid import identify, in_fold, train
+from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.materialize import training_order
 from fieldloom.llm.near_dedup import near_duplicates
 from fieldloom.llm.packing import pack
@@ -55,6 +56,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "source", "window")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_lines", "dropped", "kept_in",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_spans(_table(spark, sf_dir, "documents"))
     every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
@@ -83,6 +90,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_training_order": op10_training_order,
