@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from fieldloom.llm.decontaminate import contamination
 from fieldloom.llm.exact_dedup import digest_verdicts
 from fieldloom.llm.langid import identify, in_fold, train
@@ -94,6 +96,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_training_order": op10_training_order,
+    "pipeline": corpus_pipeline.run,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,3 +114,5 @@ ORACLE = {
                CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> f THEN f END AS refers_to FROM f""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
