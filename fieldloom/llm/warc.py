@@ -46,17 +46,20 @@ _RECORD = ("id long, url string, record_type string, refers_to long, payload_byt
            "payload binary, file string, file_offset long")
 
 
-def marked_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
-                   revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """id, url, payload, digest, refers_to: which records are revisits, and of what."""
+def _records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """id, url, payload and digest of every page, with its place in the order of records."""
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(url_col, F.lit("")).alias("url"),
-                        payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    large = (rows.filter((F.length("payload") >= revisit_from) & F.col("id").isNotNull())
-             .groupBy("digest").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-             .filter("_n > 1").select("digest", "_first"))
-    return (rows.join(large, "digest", "left")
-            .withColumn("refers_to", F.when(F.col("id") > F.col("_first"), F.col("_first"))).drop("_first"))
+    return (pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(url_col, F.lit("")).alias("url"),
+                         payload.alias("payload"))
+            .withColumn("digest", F.sha2("payload", 256)).withColumns(order_columns(F.col("id"), F.col("url"))))
+
+
+def _revisits(keys: DataFrame, revisit_from: int) -> DataFrame:
+    """keys of the records that repeat an earlier payload, with the id they refer to; payloads are not moved."""
+    large = keys.filter((F.col("bytes") >= revisit_from) & F.col("id").isNotNull())
+    first = (large.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("_n"))
+             .filter("_n > 1").drop("_n"))
+    return large.join(first, "digest").filter("id > refers_to")
 
 
 def _record_uri(record_id: int | None) -> str:
@@ -86,7 +89,7 @@ def _writer(folder: str, roll_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, top = fs.FileSystem.from_uri(folder)
         attempt = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
-        done, out, state = [], None, {}
+        done, out, state, announced = [], None, {}, (None, None, None)
 
         def close():
             out.close()
@@ -99,6 +102,10 @@ def _writer(folder: str, roll_bytes: int):
             shards, ids, urls, digests, refers = (
                 batch.column(name).to_pylist() for name in ("_shard", "id", "url", "digest", "refers_to"))
             for i, payload in enumerate(batch.column("payload")):
+                if payload.as_py() is None:     # announces that the record that follows is a revisit
+                    announced = (ids[i], digests[i], refers[i])
+                    continue
+                refers_to = announced[2] if announced[:2] == (ids[i], digests[i]) else None
                 full = out is not None and state["bytes"] >= roll_bytes
                 if out is not None and (full or shards[i] != state["shard"]):
                     close()
@@ -108,7 +115,7 @@ def _writer(folder: str, roll_bytes: int):
                     state = {"shard": shards[i], "roll": roll, "records": 0, "bytes": 0, "sha": hashlib.sha256(),
                              "first": ids[i], "temporary": posixpath.join(top, f"_writing-{attempt}-{shards[i]}-{roll}")}
                     out = where.open_output_stream(state["temporary"], compression=None)
-                data = _member(ids[i], urls[i], payload.as_py(), digests[i], refers[i])
+                data = _member(ids[i], urls[i], payload.as_py(), digests[i], refers_to)
                 out.write(data)
                 state["records"] += 1
                 state["bytes"] += len(data)
@@ -138,16 +145,18 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     spark = prepare(pages.sparkSession)
     where, top = fs.FileSystem.from_uri(folder)
     where.create_dir(top, recursive=True)
-    rows = marked_records(pages, id_col, url_col, payload_col, revisit_from)
-    order = order_columns(F.col(id_col), F.coalesce(url_col, F.lit("")))
-    sizes = stored(pages.select(*[c.alias(n) for n, c in order.items()],
-                                (F.coalesce(F.octet_length(payload_col), F.lit(0)).cast("long") + 512).alias("_size")),
-                   "warc-keys")
+    rows = _records(pages, id_col, url_col, payload_col)
+    keys = stored(rows.select("id", "digest", "_major", "_minor", F.length("payload").cast("long").alias("bytes")),
+                  "warc-keys")
     n = shards or partitions(spark)
-    found = histogram_splitters(sizes, n, tolerance=0.02)
-    again = order_columns(F.col("id"), F.col("url"))
-    ordered = (rows.withColumns(again).withColumn("_shard", piece_of(found.keys)("_major", "_minor"))
-               .repartitionById(n, "_shard").sortWithinPartitions("_shard", "_major", "_minor", "digest")
+    found = histogram_splitters(keys.select("_major", "_minor", (F.col("bytes") + 512).alias("_size")), n, tolerance=0.02)
+    columns = ["_major", "_minor", "id", "url", "digest", "refers_to", "payload"]
+    # a revisit is announced by a row without payload, so that the payloads move once
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(
+        _revisits(keys, revisit_from).withColumns({"url": F.lit(""), "payload": F.lit(None).cast("binary")}).select(columns))
+    ordered = (both.withColumn("_shard", piece_of(found.keys)("_major", "_minor"))
+               .repartitionById(n, "_shard")
+               .sortWithinPartitions("_shard", "_major", "_minor", "digest", F.col("payload").isNotNull())
                .select("_shard", "id", "url", "digest", "refers_to", "payload"))
     manifest = posixpath.join(folder, "_manifest")
     ordered.mapInArrow(_writer(folder, roll_bytes), _MANIFEST).write.mode("overwrite").parquet(manifest)
