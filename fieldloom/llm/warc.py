@@ -122,18 +122,20 @@ def _writer(folder: str, roll_bytes: int):
                 state["sha"].update(data)
                 state["last"] = ids[i]
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names=_names(_MANIFEST))
+                yield _manifest_rows(done)
                 done.clear()
         if out is not None:
             close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*done), [pa.string(), pa.int32(), pa.int32(), pa.int64(),
-                                                             pa.int64(), pa.string(), pa.int64(), pa.int64()])],
-                names=_names(_MANIFEST))
+            yield _manifest_rows(done)
 
     return write
 
 
+def _manifest_rows(done: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=_names(_MANIFEST))
+
+
 def _names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
