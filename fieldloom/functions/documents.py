@@ -18,8 +18,20 @@ def no_fields() -> Column:
 
 
 def parse_document(json_text: Column) -> Column:
-    """JSON object text to a map; null and JSON null read as no fields."""
-    return F.coalesce(F.from_json(json_text, DOCUMENT), no_fields())
+    """JSON object text to a map; null and JSON null read as no fields.
+
+    A repeated key keeps its first place and its last value.
+    """
+    def last_values(parsed: Column) -> Column:
+        entries = F.map_entries(parsed)
+        keys = F.array_distinct(F.map_keys(parsed))
+        kept = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(
+            F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+        return F.when(F.size(keys) == F.size(entries), parsed).otherwise(kept)
+
+    # one evaluation of the parser for all uses
+    parsed = F.transform(F.array(F.from_json(json_text, DOCUMENT)), last_values)
+    return F.coalesce(F.get(parsed, F.lit(0)), no_fields())
 
 
 def field_count(fields: Column) -> Column:
@@ -47,10 +59,5 @@ def merged(fields: Column, patch: Column) -> Column:
     return F.map_concat(kept, added)
 
 
-def without(fields: Column, key: Column) -> Column:
-    """The document without one key; an absent key changes nothing."""
-    return F.map_filter(F.coalesce(fields, no_fields()), lambda k, v: k != key)
-
-
 def without_any(fields: Column, keys: Column) -> Column:
     return F.map_filter(F.coalesce(fields, no_fields()), lambda k, v: ~F.array_contains(keys, k))

@@ -25,7 +25,7 @@ def register_users(users: DataFrame, requests: DataFrame) -> AccountChanges:
     The request id becomes the user id.
     """
     fresh = shared(new_rows(
-        first_rows(requests, ["email"], ["requested_at", "request_id"]), users, "email", "request_id"))
+        first_rows(requests, ["email"], ["requested_at", "request_id"]), users, "email", "request_id", hot=None))
     created = fresh.select(
         F.col("request_id").alias("user_id"), "email", "password_hash", F.lit("active").alias("status"),
         F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
@@ -59,7 +59,7 @@ def update_users(users: DataFrame, requests: DataFrame) -> AccountChanges:
                           & (F.col("_email.v") != F.col("_current"))).select(
         "user_id", F.col("_email.v").alias("email"), "_email.requested_at", "_email.request_id")
     granted = new_rows(
-        first_rows(claims, ["email"], ["requested_at", "request_id"]), users, "email", "user_id",
+        first_rows(claims, ["email"], ["requested_at", "request_id"]), users, "email", "user_id", hot=None,
     ).select("user_id", F.col("email").alias("_granted"))
     settled = shared(known.join(granted, "user_id", "left").withColumn(
         "_conflict", F.col("_email.v").isNotNull() & (F.col("_email.v") != F.col("_current"))
@@ -75,9 +75,13 @@ def update_users(users: DataFrame, requests: DataFrame) -> AccountChanges:
 
 
 def deactivate_users(users: DataFrame, requests: DataFrame) -> AccountChanges:
-    """Requested users become inactive; an unknown user is a failure verdict."""
-    wanted = requests.groupBy("user_id").agg(F.max("requested_at").alias("_at"))
-    state = users.join(wanted, "user_id", "left").withColumns({
+    """Requested users become inactive; an unknown user is a failure verdict.
+
+    Only the first request of a user who is not inactive yet changes anything.
+    """
+    wanted = requests.groupBy("user_id").agg(F.min("requested_at").alias("_at"))
+    changed = F.when(~F.col("status").eqNullSafe("inactive"), F.col("_at"))
+    state = users.join(wanted, "user_id", "left").withColumn("_at", changed).withColumns({
         "status": F.when(F.col("_at").isNotNull(), "inactive").otherwise(F.col("status")),
         **touched(users, F.col("_at")),
     }).select(*users.columns)

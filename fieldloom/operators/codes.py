@@ -113,7 +113,7 @@ def generate_codes(batches: DataFrame, existing: DataFrame, as_of: Column, seed:
         .withColumn("code", code_text(seed, F.col("batch_id"), F.col("ordinal")))
     )
     unique = first_rows(drawn, ["code"], ["batch_id", "ordinal"])
-    return new_rows(unique, existing, "code", "batch_id").select(
+    return new_rows(unique, existing, "code", "batch_id", hot=None).select(
         "batch_id", "ordinal", "code", "total_uses", F.lit(0).alias("used_count"),
         F.lit("active").alias("status"), as_of.alias("created_at"),
         (as_of + F.make_dt_interval(days=F.col("expires_in_days"))).alias("expires_at"),

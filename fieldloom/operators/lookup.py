@@ -95,14 +95,15 @@ def already_redeemed(requests: DataFrame, codes: DataFrame, grants: DataFrame) -
     """Requests with a flag: the user already holds a grant of that code."""
     held = grants.select("user_id", "code_id").distinct().withColumn("already_redeemed", F.lit(True))
     ids = codes.select("code", "code_id")
+    # a code's rows are the requests' rows: counted on the table, not on the join
     joined = skew_join(requests, ids, ["code"], "left", ["request_id"])
     return (skew_join(joined, held, ["user_id", "code_id"], "left", ["request_id"])
             .withColumn("already_redeemed", F.coalesce("already_redeemed", F.lit(False))))
 
 
-def new_rows(candidates: DataFrame, existing: DataFrame, key: str, candidate_id: str) -> DataFrame:
+def new_rows(candidates: DataFrame, existing: DataFrame, key: str, candidate_id: str, hot=PROBE) -> DataFrame:
     """Candidates whose key is not in the existing table; exact, case-sensitive equality."""
-    return skew_join(candidates, existing.select(key), [key], "left_anti", [candidate_id])
+    return skew_join(candidates, existing.select(key), [key], "left_anti", [candidate_id], hot)
 
 
 def requests_with_resume(requests: DataFrame, resumes: DataFrame, text: Column, hot=PROBE) -> DataFrame:

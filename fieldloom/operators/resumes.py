@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import dimensions, schemas
 from fieldloom.functions import documents as docs
 from fieldloom.operators.lookup import owned_resumes
-from fieldloom.operators.skew import Running, Timeline, shared, skew_join
-
-# Spark prunes a per-key ranking before the shuffle up to this many rows per key.
-PRUNED_RANKS = 1000
+from fieldloom.operators.skew import Timeline, shared, skew_join
 
 
 @dataclass(frozen=True)
@@ -28,18 +25,11 @@ def resume_page(resumes: DataFrame, skip: int = 0, limit: int = schemas.DEFAULT_
     """Per user the resumes skip+1..skip+limit, newest first, as list items."""
     if skip < 0 or not 1 <= limit <= schemas.MAX_PAGE_SIZE:
         raise ValueError(f"need skip >= 0 and 1 <= limit <= {schemas.MAX_PAGE_SIZE}")
-    items = resumes.select("resume_id", "user_id", "title",
-                           docs.field_count(F.col("fields")).alias("field_count"), newest_by)
-    if skip + limit <= PRUNED_RANKS:
-        newest = Window.partitionBy("user_id").orderBy(F.desc_nulls_last(newest_by), "resume_id")
-        ranked = items.withColumn("position", F.row_number().over(newest))
-    else:
-        # descending order as an ascending number, so that blocks can range over it
-        age = F.col(newest_by)
-        age = -(age if dict(items.dtypes)[newest_by] == "bigint" else F.unix_micros(age.cast("timestamp")))
-        ranked = (
-            Timeline(items.withColumn("_age", F.coalesce(age, F.lit(2**63 - 1))), ["user_id"], ["_age", "resume_id"])
-            .running(Running("position", F.sum, F.lit(1))).rows().drop("_age"))
+    shown = ("resume_id", "user_id", "title")
+    items = resumes.select(*shown, docs.field_count(F.col("fields")).alias("field_count"),
+                           *[c for c in [newest_by] if c not in shown])
+    newest = [F.desc_nulls_last(newest_by), F.col("resume_id")]
+    ranked = Timeline(items, ["user_id"], newest).numbered("position").rows()
     page = ranked.filter((F.col("position") <= skip + limit) & (F.col("position") > skip))
     return page.withColumn("position", F.col("position").cast("int"))
 
@@ -138,7 +128,8 @@ def update_resumes(resumes: DataFrame, requests: DataFrame) -> Changes:
 
     patches = requests.groupBy("resume_id", "user_id").agg(
         latest("title").alias("_title"), latest("fields").alias("_fields"),
-        F.max("requested_at").alias("_at"))
+        # a request that sets neither part changes nothing and leaves no stamp
+        F.max(F.when(F.col("has_title") | F.col("has_fields"), F.col("requested_at"))).alias("_at"))
     state = resumes.join(patches, ["resume_id", "user_id"], "left").withColumns({
         "title": F.when(F.col("_title").isNotNull(), F.col("_title.v")).otherwise(F.col("title")),
         "fields": F.when(F.col("_fields").isNotNull(), F.coalesce("_fields.v", docs.no_fields()))

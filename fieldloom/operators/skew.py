@@ -1,8 +1,8 @@
 """Joins and running aggregates that hold when one key owns much of the table.
 
-Small inputs take the plain Spark operator. Inputs large enough for one key to
-hurt a task are counted per key first; only keys above the row limit are
-salted (joins) or cut into ordered blocks (running aggregates).
+Keys are counted first, pre-aggregated before the shuffle. Keys above the row
+limit are salted (joins) or cut into ordered blocks (running aggregates); when
+there are none, the plain Spark operator is used. Only row counts decide.
 """
 
 from __future__ import annotations
@@ -28,11 +28,9 @@ PROBE = object()
 class SkewPolicy:
     """Limits, each read from ``spark.fieldloom.skew.<name>`` when set."""
 
-    probeBytes: int = 512 << 20    # inputs estimated below this are never probed
     groupRows: int = 4_000_000     # a key with more rows is split
     pieceRows: int = 1_000_000     # rows per salt or block of a split key
-    maxHotKeys: int = 50_000       # bound on what is broadcast about hot keys
-    maxBlocks: int = 10_000        # more rows make larger blocks, not more of them
+    broadcastRows: int = 50_000    # more hot keys or block totals than this are joined with a shuffle
 
     @classmethod
     def of(cls, spark: SparkSession) -> SkewPolicy:
@@ -43,49 +41,32 @@ class SkewPolicy:
         })
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Bytes of the tables df reads, or None when the session does not tell.
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys with too many rows for one task, materialised, with their row counts."""
 
-    The optimizer multiplies the sides of a join; here every join looks up one
-    row, so the sum over the inputs is the closer bound.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return None
+    table: DataFrame    # the keys and ROWS
+    n_keys: int
+    n_rows: int         # of all hot keys together
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """A result that several outputs read: computed once and kept when its inputs are large.
+    """A result that several outputs read: computed once and kept."""
+    return durable(df)
 
-    Small inputs are cheaper to compute again than to write.
-    """
-    size = estimated_bytes(df)
-    small = size is not None and size < SkewPolicy.of(df.sparkSession).probeBytes
-    return df if small else durable(df)
 
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys | None:
+    """The keys of df with more than ``groupRows`` rows, or None when there are none."""
+    policy = SkewPolicy.of(df.sparkSession)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS)).filter(F.col(ROWS) > policy.groupRows)
+    # the counting job itself is the probe; only a non-empty result is written
+    n_keys, n_rows = counts.agg(F.count(F.lit(1)), F.sum(ROWS)).first()
+    return HotKeys(durable(counts), n_keys, n_rows) if n_keys else None
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys of df with too many rows for one task, with their row counts.
 
-    None when there are none. The counts are pre-aggregated before the shuffle
-    and the result is materialised: at most ``maxHotKeys`` rows, the same on
-    every use.
-    """
-    policy = SkewPolicy.of(df.sparkSession)
-    keyed = df.select(*keys)
-    size = estimated_bytes(keyed)
-    if size is not None and size < policy.probeBytes:
-        return None
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
-    hot = durable(counts.filter(F.col(ROWS) > policy.groupRows))
-    n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.sum(ROWS)).first()
-    if n_hot > policy.maxHotKeys:
-        # fewer than maxHotKeys keys can own more than this share each
-        hot = durable(hot.filter(F.col(ROWS) > n_rows // policy.maxHotKeys))
-        n_hot = hot.count()
-    return hot if n_hot else None
+def _bounded(df: DataFrame, n_rows: int) -> DataFrame:
+    """Broadcast df while it is small; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if n_rows <= SkewPolicy.of(df.sparkSession).broadcastRows else df
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -95,11 +76,11 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return match
 
 
-def _marked(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join df with the bounded hot-key table, null keys included."""
+def _marked(df: DataFrame, hot: DataFrame, n_rows: int, keys: Sequence[str], how: str) -> DataFrame:
+    """Join df with a table about hot keys of n_rows rows, null keys included."""
     renamed = hot.select(*[F.col(k).alias("_hot_" + k) for k in keys],
                          *[c for c in hot.columns if c not in keys])
-    joined = df.join(F.broadcast(renamed), _same_key(df, renamed, keys), how)
+    joined = df.join(_bounded(renamed, n_rows), _same_key(df, renamed, keys), how)
     return joined.drop(*["_hot_" + k for k in keys])
 
 
@@ -121,11 +102,11 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
         joined = left.join(right, keys, how)
     else:
         piece = SkewPolicy.of(left.sparkSession).pieceRows
-        salts = hot.select(*keys, F.ceil(F.col(ROWS) / piece).cast("int").alias(SALTS))
-        salted_left = _marked(left, salts, keys, "left").withColumn(
+        salts = hot.table.select(*keys, F.ceil(F.col(ROWS) / piece).cast("int").alias(SALTS))
+        salted_left = _marked(left, salts, hot.n_keys, keys, "left").withColumn(
             SALT, F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col(SALTS)).cast("int"), F.lit(0)),
         ).drop(SALTS)
-        salted_right = _marked(right, salts, keys, "left").withColumn(
+        salted_right = _marked(right, salts, hot.n_keys, keys, "left").withColumn(
             SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(SALTS) - 1, F.lit(0)))),
         ).drop(SALTS)
         joined = salted_left.join(salted_right, [*keys, SALT], how).drop(SALT)
@@ -164,20 +145,21 @@ class Timeline:
     the totals of the key's earlier blocks, so no task ever holds a whole hot
     key. The block totals number at most blocks + hot keys. As in a join,
     ``hot`` may come from another table that holds at least the rows of df.
+    ``order`` takes columns or sort expressions of any sortable type.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], hot=PROBE):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], hot=PROBE):
         self.keys, self.order = list(keys), list(order)
         self.hot = hot_keys(df, self.keys) if hot is PROBE else hot
         self.plain, self.blocks = df, None
         if self.hot is None:
             return
-        policy = SkewPolicy.of(df.sparkSession)
-        n_blocks = min(-(-self.hot.agg(F.sum(ROWS)).first()[0] // policy.pieceRows), policy.maxBlocks)
-        hot_only = self.hot.select(*self.keys)
-        self.plain = _marked(df, hot_only, self.keys, "left_anti")
+        n_blocks = -(-self.hot.n_rows // SkewPolicy.of(df.sparkSession).pieceRows)
+        self.n_totals = n_blocks + self.hot.n_keys
+        hot_only = self.hot.table.select(*self.keys)
+        self.plain = _marked(df, hot_only, self.hot.n_keys, self.keys, "left_anti")
         self.blocks = durable(
-            _marked(df, hot_only, self.keys, "left_semi")
+            _marked(df, hot_only, self.hot.n_keys, self.keys, "left_semi")
             .repartitionByRange(n_blocks, *self.keys, *self.order)
             .withColumn(BLOCK, F.spark_partition_id())
         )
@@ -201,12 +183,22 @@ class Timeline:
         if self.blocks is not None:
             groups = [*self.keys, BLOCK]
             carried = self._carried(groups, wanted)
-            joined = _marked(self._within(self.blocks, groups, wanted), carried, groups, "left")
+            joined = _marked(self._within(self.blocks, groups, wanted), carried, self.n_totals, groups, "left")
             self.blocks = joined.withColumns({
                 w.name: _COMBINE[w.fn](F.col(w.name), F.col("_carried_" + w.name)) for w in wanted
             }).drop(*["_carried_" + w.name for w in wanted])
         return self
 
+    def numbered(self, name: str) -> Timeline:
+        """Add the row's number in its key, from 1; a filter on it prunes plain keys in the map tasks."""
+        ordered = Window.partitionBy(*self.keys).orderBy(*self.order)
+        self.plain = self.plain.withColumn(name, F.row_number().over(ordered).cast("long"))
+        if self.blocks is not None:
+            plain, self.plain = self.plain, self.plain.drop(name)
+            self.running(Running(name, F.sum, F.lit(1).cast("long")))
+            self.plain = plain
+        return self
+
     def _within(self, df: DataFrame, groups: Sequence[str], wanted: Sequence[Running]) -> DataFrame:
         ordered = Window.partitionBy(*groups).orderBy(*self.order)
         return df.withColumns({

@@ -89,7 +89,7 @@ def field_types(t: Tables) -> DataFrame:
 
 @query
 def seed_insert(t: Tables) -> DataFrame:
-    return tables.insert_if_absent(t.users, tables.users(t.seed_users), "email")
+    return tables.insert_if_absent(t.users, tables.users(t.seed_users), "email", ["user_id"])
 
 
 @query

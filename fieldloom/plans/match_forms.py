@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.documents import resume_text
 from fieldloom.functions.numbers import ratio
 from fieldloom.operators import lookup, matching, quota
-from fieldloom.operators.skew import hot_keys, shared
+from fieldloom.operators.skew import first_rows, hot_keys, shared
 from fieldloom.sources.tables import usage_log_rows
 
 
@@ -96,7 +96,10 @@ def judged_requests(checked: DataFrame, answers: DataFrame) -> DataFrame:
     Answers are parsed after the join, and only those of requests that passed.
     """
     passed = F.col("check_verdict") == "ok"
-    joined = checked.join(answers.select("request_id", "status_code", "output_text"), "request_id", "left")
+    # one answer per request: repeated ones must not be logged and charged again
+    single = first_rows(answers.select("request_id", "status_code", "output_text"), ["request_id"],
+                        ["status_code", "output_text"])
+    joined = checked.join(single, "request_id", "left")
     read = matching.with_answer(joined.withColumn("status_code", F.when(passed, F.col("status_code"))))
     return read.withColumn(
         "outcome", F.when(passed, F.col("answer_verdict")).otherwise(F.col("check_verdict")))

@@ -233,7 +233,8 @@ _add("field_types", """
 _add("seed_insert", """
     SELECT * FROM users UNION ALL
     SELECT user_id, email, lower(status), created_at, updated_at FROM seed_users
-    WHERE email NOT IN (SELECT email FROM users)""")
+    WHERE email NOT IN (SELECT email FROM users)
+    QUALIFY row_number() OVER (PARTITION BY email ORDER BY user_id) = 1""")
 _add("append_usage_log", """
     SELECT o.request_id AS log_id, o.user_id,
       CASE WHEN website_url IS NULL OR website_url = '' THEN 'unknown' ELSE website_url END AS website_url,
@@ -483,7 +484,9 @@ _add("deactivate_users_verdicts", """
     FROM deactivations""")
 _add("touch_updated_at", """
     SELECT u.user_id, u.created_at,
-      coalesce((SELECT max(requested_at) FROM deactivations d WHERE d.user_id = u.user_id), u.updated_at) AS updated_at
+      CASE WHEN u.status = 'inactive' THEN u.updated_at
+           ELSE coalesce((SELECT min(requested_at) FROM deactivations d WHERE d.user_id = u.user_id), u.updated_at)
+      END AS updated_at
     FROM users u""")
 _REQUEST_TEXT = """'name: ' || json_extract_string({0}.fields, 'name') || chr(10) ||
       'goal: ' || json_extract_string({0}.fields, 'goal')"""
@@ -526,9 +529,8 @@ _add("migrate_timestamps", "SELECT log_id, used_at FROM usage_logs")
 _add("stream_match_stats", f"""
     {_RATED} FROM (SELECT user_id, {_TOTALS.format(row='*')} FROM usage_logs GROUP BY user_id)""")
 _add("stream_daily_usage", f"""
-    SELECT * FROM (SELECT CAST(used_at AS DATE) AS day, {_TOTALS.format(row='*')}
-                   FROM usage_logs GROUP BY CAST(used_at AS DATE))
-    WHERE day + INTERVAL 2 DAY <= (SELECT max(used_at) FROM usage_logs)""")
+    SELECT CAST(used_at AS DATE) AS day, {_TOTALS.format(row='*')}
+    FROM usage_logs GROUP BY CAST(used_at AS DATE)""")
 _add("stream_extract_matches", f"SELECT {_MATCH_COLUMNS} FROM matches")
 _add("stream_quota_ledger", _LEDGER)
 _add("stream_redeem", _REDEEM_VERDICTS)

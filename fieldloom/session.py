@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings that change results; safe to set on a running session.
 RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # the size of a null is null, and bad casts are errors
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.legacy.sizeOfNull": "false",
     # a JSON object that repeats a key keeps the last value
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

@@ -140,11 +140,12 @@ VIEWS = {
           CASE o_orderkey % 4 WHEN 0 THEN 'hobby' WHEN 1 THEN 'email' WHEN 2 THEN 'skills' ELSE 'absent' END AS field_key,
           o_orderdate AS requested_at
         FROM orders""",
+    # emails that are not customers' come twice
     "seed_users": """
         SELECT 1000000000 + s_suppkey AS user_id,
           CASE WHEN s_suppkey % 2 = 0
                THEN 'customer.' || lpad(CAST(s_suppkey AS VARCHAR(12)), 9, '0')
-               ELSE 'supplier.' || CAST(s_suppkey AS VARCHAR(12)) END || '@example.com' AS email,
+               ELSE 'supplier.' || CAST(s_suppkey - s_suppkey % 4 AS VARCHAR(12)) END || '@example.com' AS email,
           'digest' AS password_hash, 'ACTIVE' AS status,
           NTZ '2024-01-01 00:00:00' AS created_at,
           NTZ '2024-01-01 00:00:00' AS updated_at

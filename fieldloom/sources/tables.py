@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fieldloom import schemas
 from fieldloom.functions.documents import parse_document
+from fieldloom.operators.skew import first_rows
 
 
 def read_table(spark: SparkSession, path: str | None = None, schema: T.StructType | str | None = None,
@@ -71,12 +72,15 @@ def usage_logs(raw: DataFrame) -> DataFrame:
     return conform(raw, schemas.USAGE_LOGS)
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def insert_if_absent(existing: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Existing rows plus the new rows whose natural key is not taken.
 
-    Columns the new rows lack are null.
+    Of new rows with one key the first in ``order`` is inserted; rows with a
+    null key never conflict. Columns the new rows lack are null.
     """
-    fresh = new.join(existing.select(key), key, "left_anti")
+    named = first_rows(new.filter(F.col(key).isNotNull()), [key], order)
+    fresh = named.join(existing.select(key), key, "left_anti").select(*new.columns).unionByName(
+        new.filter(F.col(key).isNull()))
     return existing.unionByName(fresh.select(*existing.columns))
 
 

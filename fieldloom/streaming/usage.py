@@ -24,18 +24,20 @@ def stream_match_stats(logs: DataFrame, folder: str) -> DataFrame:
     return stats.with_success_rate(latest)
 
 
-def stream_daily_usage(logs: DataFrame, folder: str, lateness: str = "1 day") -> DataFrame:
-    """Usage per calendar day (UTC); a day is written once the watermark has passed it.
+def stream_daily_usage(logs: DataFrame, folder: str) -> DataFrame:
+    """Usage per calendar day (UTC); each batch writes only the days it changed.
 
-    The watermark bounds the state; rows later than it are dropped.
+    A day stays open for late rows, so none is dropped. The state is one row
+    per day, whatever the number of rows.
     """
-    timed = logs.withColumn("used_at", F.col("used_at").cast("timestamp")).withWatermark("used_at", lateness)
-    daily = timed.groupBy(F.window("used_at", "1 day")).agg(
+    daily = logs.groupBy(F.col("used_at").cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("total_uses"), F.sum("fields_count").alias("total_fields"),
         F.sum("success_count").alias("total_successes"))
-    runs.to_files(daily.select(
-        F.col("window.start").cast("date").alias("day"), "total_uses", "total_fields", "total_successes"), folder)
-    return logs.sparkSession.read.parquet(f"{folder}/rows")
+    runs.each_batch(
+        daily, folder, lambda changed, batch_id: write_version(changed, f"{folder}/rows/batch={batch_id}"), mode="update")
+    rows = logs.sparkSession.read.parquet(f"{folder}/rows")
+    totals = ("total_uses", "total_fields", "total_successes")
+    return rows.groupBy("day").agg(*[F.max_by(c, "batch").alias(c) for c in totals])
 
 
 def stream_extract_matches(outputs: DataFrame, folder: str) -> DataFrame:

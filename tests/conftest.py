@@ -24,7 +24,7 @@ def spark():
 @pytest.fixture
 def tiny_limits(spark):
     """Limits that make any key with more than 12 rows hot."""
-    limits = {"probeBytes": "0", "groupRows": "12", "pieceRows": "5"}
+    limits = {"groupRows": "12", "pieceRows": "5"}
     for name, value in limits.items():
         spark.conf.set(f"spark.fieldloom.skew.{name}", value)
     yield

@@ -12,6 +12,7 @@ from fieldloom.functions import documents as docs
 from fieldloom.functions import text
 from fieldloom.functions.numbers import round2
 from fieldloom.operators import resumes
+from fieldloom.sources import tables
 
 RESUME = {
     "name": "张三", "email": "zhangsan@example.com", "phone": "13800138000", "address": "北京市朝阳区",
@@ -117,23 +118,36 @@ def test_edits_of_hot_resumes(spark, tiny_limits):
     check_edits(spark, 5)
 
 
-def test_deep_page_equals_shallow_one(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pages_of_any_depth_and_type(spark, tiny_limits, kind):
     rng = random.Random(3)
-    df = spark.createDataFrame(
-        [(i, 0 if i % 3 else i % 7, f"t{i}", {"a": "1"}, rng.choice([None, *range(9)])) for i in range(120)],
-        f"resume_id long, user_id long, title string, fields {docs.DOCUMENT}, seq long")
-    plain = resumes.resume_page(df, skip=5, limit=20, newest_by="seq").collect()
-    before = resumes.PRUNED_RANKS
-    resumes.PRUNED_RANKS = 10
-    try:
-        deep = resumes.resume_page(df, skip=5, limit=20, newest_by="seq").collect()
-    finally:
-        resumes.PRUNED_RANKS = before
-    assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, deep), key=str)
+    order = "seq" if kind == "long" else "title"
+    rows = [(i, 0 if i % 3 else i % 7, rng.choice([None, *"abcdefgh"]), {"a": "1"}, rng.choice([None, -(2**63), 2**63 - 1, *range(9)]))
+            for i in range(120)]
+    df = spark.createDataFrame(rows, f"resume_id long, user_id long, title string, fields {docs.DOCUMENT}, seq long")
+    at = 4 if kind == "long" else 2
+    for skip, limit in ((0, 5), (5, 20), (50, 100)):
+        expected = set()
+        for user in {r[1] for r in rows}:
+            own = [r for r in rows if r[1] == user]
+            newest = sorted((r for r in own if r[at] is not None), key=lambda r: r[0])
+            newest = sorted(newest, key=lambda r: r[at], reverse=True) + [r for r in own if r[at] is None]
+            expected |= {(r[0], n) for n, r in enumerate(newest, 1) if skip < n <= skip + limit}
+        page = resumes.resume_page(df, skip=skip, limit=limit, newest_by=order)
+        assert {(r["resume_id"], r["position"]) for r in page.collect()} == expected
     with pytest.raises(ValueError):
         resumes.resume_page(df, limit=101)
 
 
+def test_repeated_json_keys_keep_the_first_place_and_the_last_value(spark):
+    texts = ['{"a":"1","b":"2","a":"3"}', '{"a":"1"}', '{}', 'null', None, '{"x":null,"x":"y","z":"w","x":null}']
+    df = tables.resumes(spark.createDataFrame(list(enumerate(texts)), "resume_id long, fields string"))
+    got = {r["resume_id"]: list(r["fields"].items()) for r in df.collect()}
+    assert got == {0: [("a", "3"), ("b", "2")], 1: [("a", "1")], 2: [], 3: [], 4: [], 5: [("x", None), ("z", "w")]}
+    merged = df.select(docs.merged(df["fields"], docs.parse_document(F.lit('{"a":"9","a":"8"}'))).alias("m")).collect()
+    assert merged[0]["m"] == {"a": "8", "b": "2"}
+
+
 def test_update_and_delete(spark):
     at = [dt.datetime(2024, 1, d) for d in range(1, 5)]
     state = spark.createDataFrame(

@@ -1,12 +1,17 @@
 """Every query against DuckDB on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
 from conftest import SMALL
+from fieldloom.plans.catalog import QUERIES
+from fieldloom.plans.oracle import ORACLE
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 
@@ -24,6 +29,15 @@ def ordered(rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_entry_without_the_training_data_queries():
+    # as when the subpackage and the pipeline file are deleted
+    code = ("import sys; sys.modules['fieldloom.llm'] = None; import __spark_entry__ as e; "
+            "assert not any(n.startswith('op1_') for n in e.queries()) and len(e.queries()) > 70")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
 
 
 def test_entry(spark):

@@ -1,14 +1,11 @@
 """Hot keys take the split paths and give the same rows as the plain ones."""
 
-import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
-from fieldloom.operators.skew import Running, Timeline, estimated_bytes, hot_keys, skew_join
-from fieldloom.sources import derived
+from fieldloom.operators.skew import Running, Timeline, hot_keys, skew_join
 
 
 def skewed_rows(n=400, seed=1):
@@ -34,17 +31,22 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_small_input_is_not_probed(spark, monkeypatch):
-    orders = derived.view(spark, SMALL, "redeem_requests")
-    size = os.path.getsize(f"{SMALL}/orders.parquet")
-    assert estimated_bytes(orders) == size
-    assert estimated_bytes(orders.join(orders.select("code"), "code")) == 2 * size
-    monkeypatch.setattr("fieldloom.operators.skew.durable", None)
-    assert hot_keys(orders, ["code"]) is None
+def test_one_compressed_hot_key_is_split_at_the_default_limits(spark, tmp_path):
+    # 20 million equal keys in a few kilobytes: only the rows tell
+    path = str(tmp_path / "hot")
+    spark.range(20_000_000).select(F.lit(7).alias("k"), (F.col("id") % 3).alias("t")).repartition(2).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "hot").glob("*.parquet"))
+    assert size < 20_000_000
+    table = spark.read.parquet(path)
+    hot = hot_keys(table, ["k"])
+    assert (hot.n_keys, hot.n_rows) == (1, 20_000_000)
+    assert hot_keys(table.limit(1000), ["k"]) is None
+    timeline = Timeline(table, ["k"], ["t"], hot)
+    assert timeline.plain.isEmpty() and timeline.n_totals == 21
 
 
 def test_hot_keys(left, tiny_limits):
-    hot = {r["k"]: r["_key_rows"] for r in hot_keys(left, ["k"]).collect()}
+    hot = {r["k"]: r["_key_rows"] for r in hot_keys(left, ["k"]).table.collect()}
     expected = {}
     for _, k, _, _ in skewed_rows():
         expected[k] = expected.get(k, 0) + 1
@@ -52,13 +54,26 @@ def test_hot_keys(left, tiny_limits):
     assert None in hot and 0 in hot
 
 
-def test_hot_keys_stay_within_their_bound(spark, left, tiny_limits):
-    spark.conf.set("spark.fieldloom.skew.maxHotKeys", "2")
+@pytest.mark.parametrize("how", ["inner", "left_anti"])
+def test_more_hot_keys_than_a_broadcast_holds_are_all_split(spark, left, right, how, tiny_limits):
+    spark.conf.set("spark.fieldloom.skew.broadcastRows", "0")
     try:
-        # the null key and key 0 own far more than a third each of the hot rows
-        assert hot_keys(left, ["k"]).count() <= 2
+        split = skew_join(left, right, ["k"], how, ["id"])
+        assert rows(split.select(*left.columns)) == rows(left.join(right, ["k"], how).select(*left.columns))
+        assert sorted(map(tuple, running(left).rows().select("id", "s").collect())) == sorted(
+            map(tuple, running(left.coalesce(1)).rows().select("id", "s").collect()))
     finally:
-        spark.conf.unset("spark.fieldloom.skew.maxHotKeys")
+        spark.conf.unset("spark.fieldloom.skew.broadcastRows")
+
+
+def test_numbered_descending_by_any_type(left, tiny_limits):
+    named = left.withColumn("name", F.concat(F.lit("n"), "t"))
+    got = Timeline(named, ["k"], [F.desc_nulls_last("name"), F.col("id")]).numbered("place").rows().collect()
+    expected, seen = set(), {}
+    for r in sorted(named.collect(), key=lambda r: ([-ord(c) for c in r["name"]] + [0], r["id"])):
+        seen[r["k"]] = seen.get(r["k"], 0) + 1
+        expected.add((r["id"], seen[r["k"]]))
+    assert {(r["id"], r["place"]) for r in got} == expected
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

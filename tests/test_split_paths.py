@@ -16,7 +16,7 @@ NAMES = (
 
 @pytest.fixture
 def large_input_limits(spark):
-    limits = {"probeBytes": "0", "groupRows": "20", "pieceRows": "40"}
+    limits = {"groupRows": "20", "pieceRows": "40"}
     for name, value in limits.items():
         spark.conf.set(f"spark.fieldloom.skew.{name}", value)
     yield

@@ -66,9 +66,9 @@ def test_users_are_public_and_normalised(spark):
 
 def test_insert_if_absent(spark):
     existing = spark.createDataFrame([("A", 10), ("B", 1)], "code string, total_uses int")
-    seed = spark.createDataFrame([("TEST2024DEMO1234", 10), ("A", 99)], "code string, total_uses int")
-    assert sorted(map(tuple, tables.insert_if_absent(existing, seed, "code").collect())) == [
-        ("A", 10), ("B", 1), ("TEST2024DEMO1234", 10)]
+    seed = spark.createDataFrame([("NEW", 12), ("NEW", 10), ("A", 99), (None, 1), (None, 1)], "code string, total_uses int")
+    assert sorted(map(tuple, tables.insert_if_absent(existing, seed, "code", ["total_uses"]).collect()), key=str) == [
+        ("A", 10), ("B", 1), ("NEW", 10), (None, 1), (None, 1)]
 
 
 def test_login_gate(spark):
