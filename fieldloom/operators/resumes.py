@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom import dimensions, schemas
 from fieldloom.functions import documents as docs
 from fieldloom.operators.lookup import owned_resumes
-from fieldloom.operators.skew import Timeline, shared, skew_join
+from fieldloom.operators.skew import Running, Timeline, shared, skew_join
 
 
 @dataclass(frozen=True)
@@ -181,10 +181,12 @@ def edit_fields(resumes: DataFrame, edits: DataFrame) -> Changes:
     ).select(*resume, "request_id", F.col("entry.key").alias("key"), F.col("entry.value").alias("value"),
              "is_set", F.struct("requested_at", "request_id", "pos").alias("step"))
     per_key = [*resume, "key"]
+    held = resumes.select(*resume, F.explode(F.map_keys("fields")).alias("key"), F.lit(True).alias("_held"))
     last = F.max(F.struct("step", "is_set", "value")).alias("_last")
     reduced = steps.groupBy(*per_key).agg(
         last, F.max(F.when(~F.col("is_set"), F.col("step"))).alias("_deleted"),
-        F.min(F.when(F.col("is_set"), F.col("step"))).alias("_first"))
+        F.min(F.when(F.col("is_set"), F.col("step"))).alias("_first"),
+    ).join(held, per_key, "left")
     # only keys deleted and set again later have a place that this pass cannot tell
     returned = reduced.filter(F.col("_deleted").isNotNull() & F.col("_last.is_set")).select(*per_key, "_deleted")
     again = (skew_join(steps.filter("is_set"), returned, per_key, "inner", ["request_id"])
@@ -193,17 +195,24 @@ def edit_fields(resumes: DataFrame, edits: DataFrame) -> Changes:
     patches = reduced.join(again, per_key, "left").groupBy(*resume).agg(
         F.collect_list(F.when(F.col("_last.is_set"), F.struct(place, "key", F.col("_last.value").alias("value"))))
         .alias("_sets"),
-        F.collect_list(F.when(F.col("_deleted").isNotNull(), F.col("key"))).alias("_dropped"),
+        # keys the document holds: its size bounds the list
+        F.collect_list(F.when(F.col("_deleted").isNotNull() & F.col("_held"), F.col("key"))).alias("_dropped"),
     )
-    latest = edits.groupBy(*resume).agg(
-        F.max(F.when(is_merge & (F.size("patch") > 0), F.col("requested_at"))).alias("_merged_at"),
-        F.max(F.when(~is_merge, F.col("requested_at"))).alias("_deleted_at"))
+    merged_at = edits.groupBy(*resume).agg(
+        F.max(F.when(is_merge & (F.size("patch") > 0), F.col("requested_at"))).alias("_merged_at"))
+    # a delete counts when the key was there: set by the step before it, or held at the start
+    ordered = (Timeline(steps.withColumns({"at": F.col("step.requested_at"), "rq": F.col("step.request_id"), "ps": F.col("step.pos")}),
+                        per_key, ["at", "rq", "ps"])
+               .running(Running("_before", F.max, F.struct("step", "is_set"), inclusive=False)).rows())
+    removed = (ordered.filter(~F.col("is_set")).join(held, per_key, "left")
+               .filter(F.coalesce(F.col("_before.is_set"), F.col("_held"), F.lit(False)))
+               .groupBy(*resume).agg(F.max("at").alias("_deleted_at")))
+    latest = merged_at.join(removed, resume, "left")
     patch = F.map_from_entries(F.transform(
         F.array_sort("_sets"), lambda s: F.struct(s["key"], s["value"])))
     fields = docs.merged(docs.without_any(F.col("fields"), F.col("_dropped")), patch)
     # a delete of an absent key leaves the document, and with it the stamp, alone
-    changed = F.map_entries("_next") != F.map_entries("fields")
-    at = F.greatest(F.col("_merged_at"), F.when(changed, F.col("_deleted_at")))
+    at = F.greatest("_merged_at", "_deleted_at")
     state = (
         resumes.join(patches, resume, "left").join(latest, resume, "left")
         .withColumn("_next", F.when(F.col("_sets").isNull(), F.col("fields")).otherwise(fields))

@@ -118,6 +118,22 @@ def test_edits_of_hot_resumes(spark, tiny_limits):
     check_edits(spark, 5)
 
 
+def test_stamps_of_edits_that_change_nothing(spark):
+    at = {y: dt.datetime(y, 1, 1) for y in range(2019, 2025)}
+    df = spark.createDataFrame([(r, 1, {"a": "1"}, at[2019]) for r in range(5)],
+                               f"resume_id long, user_id long, fields {docs.DOCUMENT}, updated_at timestamp_ntz")
+    edits = [(1, 0, 1, {"b": "2"}, None, at[2021]), (2, 0, 1, None, "x", at[2022]),     # absent key: no stamp
+             (3, 1, 1, None, "a", at[2021]), (4, 1, 1, None, "a", at[2023]),            # gone already
+             (5, 2, 1, None, "x", at[2022]),                                            # never there
+             (6, 3, 1, {"n": "1"}, None, at[2020]), (7, 3, 1, None, "n", at[2021]), (8, 3, 1, None, "n", at[2022]),
+             (9, 4, 1, {}, None, at[2024])]                                             # empty patch
+    ef = spark.createDataFrame(edits, f"request_id long, resume_id long, user_id long, patch {docs.DOCUMENT}, "
+                                      "field_key string, requested_at timestamp_ntz")
+    got = {r["resume_id"]: (r["fields"], r["updated_at"].year) for r in resumes.edit_fields(df, ef).resumes.collect()}
+    assert got == {0: ({"a": "1", "b": "2"}, 2021), 1: ({}, 2021), 2: ({"a": "1"}, 2019), 3: ({"a": "1"}, 2021),
+                   4: ({"a": "1"}, 2019)}
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_pages_of_any_depth_and_type(spark, tiny_limits, kind):
     rng = random.Random(3)
