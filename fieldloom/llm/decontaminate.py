@@ -3,7 +3,8 @@
 Tokens are the runs of letters and digits, lower-cased. Fixed masks select some
 tokens of a span and ignore the others; a seed is the hash of the selected
 tokens, for every position and mask. Test seeds and training seeds are joined;
-around each hit both texts are laid side by side and compared token by token.
+for each alignment that a hit gives, the item is laid beside the document's
+tokens around it and both are compared token by token.
 An overlap is a stretch of OVERLAP tokens (the whole item if it is shorter) of
 which at least PERCENT per cent are equal, so substituted words do not hide it.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import prepare, stored
+from fieldloom.llm.common import numbered, prepare, stored
 
 # fixed masks of weight 6: 1 is compared, 0 ignored
 MASKS = ("111111", "11011011", "1110000111", "1011010101")
@@ -30,6 +31,7 @@ OVERLAP = 13
 PERCENT = 80
 MIN_TOKENS = 8
 BROADCAST_SEEDS = 1 << 20       # 16 bytes each
+_CHUNK = 32     # positions whose tokens are kept together; a row never holds a whole text's tokens per position
 _LONGEST = max(map(len, MASKS))
 
 
@@ -42,51 +44,68 @@ def _seed(words: Column, position: Column, mask: int) -> Column:
     return F.xxhash64(F.lit(mask), *chosen)
 
 
-def benchmark_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """seed, item_at, item: every position and mask of every distinct item."""
+def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item_no, item_id, item: every distinct token sequence that is long enough, stored."""
     items = (benchmark.select(F.col(id_col).alias("item_id"), tokens(F.col(text_col)).alias("item"))
-             .filter(F.size("item") >= MIN_TOKENS)
-             .groupBy("item").agg(F.min("item_id").alias("item_id")))
+             .filter(F.size("item") >= MIN_TOKENS).groupBy("item").agg(F.min("item_id").alias("item_id")))
+    return stored(numbered(items, "item_no"), "benchmark-items")
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """seed, item_no, item_at, item_size: every position and mask of every item."""
     at = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.size("item") - 1)))
-    seeds = [at.filter(F.col("item_at") + len(mask) <= F.size("item"))
-             .select(_seed(F.col("item"), F.col("item_at"), m).alias("seed"), "item_at", "item", "item_id")
-             for m, mask in enumerate(MASKS)]
+    seeds = [at.filter(F.col("item_at") + len(mask) <= F.size("item")).select(
+        _seed(F.col("item"), F.col("item_at"), m).alias("seed"), "item_no", "item_at", F.size("item").alias("item_size"))
+        for m, mask in enumerate(MASKS)]
     out = seeds[0]
     for s in seeds[1:]:
         out = out.unionByName(s)
     return stored(out, "benchmark-seeds")
 
 
-def _equal_tokens() -> dict[str, Column]:
-    """Around a hit: the best number of equal tokens among stretches of the overlap's length."""
-    p, q = F.col("doc_at"), F.col("item_at")
-    n, m = F.size("words"), F.size("item")
-    left = F.least(p, q, F.lit(OVERLAP))
-    right = F.least(n - p, m - q, F.lit(OVERLAP + _LONGEST))
-    need = F.least(F.lit(OVERLAP), m)
-    equal = F.zip_with(F.slice("words", p - left + 1, left + right), F.slice("item", q - left + 1, left + right),
+def _best_stretch() -> Column:
+    """Of the item's tokens laid beside the document's: the most equal ones in a stretch of ``need`` tokens."""
+    equal = F.zip_with("beside", F.slice("item", F.col("item_from") + 1, F.size("beside")),
                        lambda x, y: F.when(x == y, 1).otherwise(0))
-    best = F.array_max(F.transform(
-        F.sequence(F.lit(1), F.size("equal") - F.col("need") + 1),
-        lambda s: F.aggregate(F.slice("equal", s, F.col("need")), F.lit(0), lambda a, x: a + x)))
-    return {"equal": equal, "need": need,
-            "best": F.when(F.size("equal") >= F.col("need"), best).otherwise(F.lit(0))}
+    sums = F.transform(F.array(equal), lambda e: F.array_max(F.transform(
+        F.sequence(F.lit(1), F.size(e) - F.col("need") + 1),
+        lambda at: F.aggregate(F.slice(e, at, F.col("need")), F.lit(0), lambda acc, x: acc + x))))
+    return F.when(F.size("beside") >= F.col("need"), F.get(sums, F.lit(0))).otherwise(0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """_id, _text_key, item_id and the best share of equal tokens of every verified overlap."""
-    spark = prepare(docs.sparkSession)
-    seeds = benchmark_seeds(benchmark, item_id_col, item_text_col)
+    prepare(docs.sparkSession)
+    items = benchmark_items(benchmark, item_id_col, item_text_col)
+    seeds = item_seeds(items)
     small = seeds.count() <= BROADCAST_SEEDS
-    words = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_key"),
+    bounded = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_key"),
                         tokens(F.col(text_col)).alias("words")).filter(F.size("words") >= MIN_TOKENS)
-    at = words.withColumn("doc_at", F.explode(F.sequence(F.lit(0), F.size("words") - len(MASKS[0]))))
-    hashed = at.withColumn("seed", F.explode(F.array(*[
-        _seed(F.col("words"), F.col("doc_at"), m) for m in range(len(MASKS))])))
-    hits = hashed.join(F.broadcast(seeds) if small else seeds.hint("merge"), "seed")
-    verify = _equal_tokens()
-    verified = hits.withColumns({"equal": verify["equal"], "need": verify["need"]}).withColumn("best", verify["best"])
+    chunks = texts.select("_id", "_text_key", F.explode(F.transform(
+        F.sequence(F.lit(0), F.size("words") - len(MASKS[0]), F.lit(_CHUNK)),
+        lambda s: F.struct(s.alias("from"), F.slice("words", s + 1, F.lit(_CHUNK + _LONGEST - 1)).alias("words")))).alias("c"))
+    at = chunks.select("_id", "_text_key", "c.from", "c.words", F.explode(F.sequence(
+        F.lit(0), F.least(F.size("c.words") - len(MASKS[0]), F.lit(_CHUNK - 1)))).alias("at"))
+    hashed = at.select("_id", "_text_key", (F.col("from") + F.col("at")).alias("doc_at"), F.explode(F.array(*[
+        _seed(F.col("words"), F.col("at"), m) for m in range(len(MASKS))])).alias("seed"))
+    # all hits of one alignment of an item become one row before the shuffle
+    aligned = (hashed.join(bounded(seeds), "seed")
+               .groupBy("_id", "_text_key", "item_no", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+               .agg(F.max("item_size").alias("item_size")))
+    per_doc = stored(aligned.groupBy("_id", "_text_key").agg(
+        F.collect_list(F.struct("item_no", "shift", "item_size")).alias("hits")), "benchmark-hits")
+    # texts with a hit, each once; the tokens beside each aligned item are cut out inside the row
+    found = per_doc.select(F.col("_id").alias("_hid"), F.col("_text_key").alias("_hkey"), "hits")
+    beside = (texts.join(found, texts["_id"].eqNullSafe(found["_hid"]) & (texts["_text_key"] == found["_hkey"]))
+              .select("_id", "_text_key", F.explode(F.transform("hits", lambda h: F.struct(
+                  h["item_no"].alias("item_no"), F.greatest(-h["shift"], F.lit(0)).alias("item_from"),
+                  F.slice("words", F.greatest(h["shift"], F.lit(0)) + 1,
+                          h["item_size"] + F.least(h["shift"], F.lit(0))).alias("beside")))).alias("h"))
+              .select("_id", "_text_key", "h.*"))
+    verified = (beside.join(bounded(items), "item_no")
+                .withColumn("need", F.least(F.lit(OVERLAP), F.size("item"))).withColumn("best", _best_stretch()))
     return (verified.filter(F.col("best") * 100 >= F.col("need") * PERCENT)
             .groupBy("_id", "_text_key", "item_id").agg(F.max(F.col("best") / F.col("need")).alias("share")))
 
