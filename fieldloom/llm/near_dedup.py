@@ -18,11 +18,13 @@ is expanded into pairs:
    Compared means: full sets, exactly.
 2. Components of the links so far. Buckets whose classes are all in one
    component are settled: further links could change nothing.
-3. Of every other bucket the classes outside its most frequent component are
-   compared with all classes of other components, block by block inside a
-   task. A pair belongs to the first band both share, and must agree in as many
-   coordinates as a similar pair does but for one in 10^6. First each class's
-   best partners are verified and components renewed, then all that are left.
+3. Of every other bucket the classes outside its largest component are compared
+   with all classes of other components, piece by piece inside a task. A pair
+   belongs to the first band both share, and must agree in as many coordinates
+   as a similar pair does but for one in 10^6. First each class's most alike
+   partners are verified and components renewed. Then the classes that still
+   have such partners are given their full sets, and all pairs that are left
+   are verified inside the tasks; only links come out.
 
 Results in special cases: a null text or one without words has an empty set and
 is linked with nothing; a text with fewer words than a shingle has its whole
@@ -44,15 +46,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.llm.arrays import LOWER, flat, mix, piece_hashes, shingles, words
-from fieldloom.llm.common import numbered, partitions, prepare, private, retain, stored
-from fieldloom.llm.graph import components
+from fieldloom.llm.common import numbered, prepare, private, retain, stored
+from fieldloom.llm.graph import merged, open_pieces, pairs_in_pieces, roots, rows_in_pairs
 
 COORDINATES = 128
 BANDS, ROWS = 32, 4
 # similarity 0.8 gives 102 equal coordinates of 128 on average, sigma 4.5; 79 is 5.1 sigma below
 AGREEING = 79
-BLOCK = 256             # classes of a bucket compared at once
-BEST = 4                # partners verified first
+BEST = 4                # partners of a class in a piece of a bucket that are verified first
 
 _SKETCH = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()),
@@ -121,35 +122,35 @@ def _sets(width: int):
 
 
 class _Verifier:
-    """Exact similarity of pairs of classes; keeps the sets of classes that were asked for once."""
+    """Full sets of classes, and the exact similarity of pairs of them."""
 
     def __init__(self, texts: DataFrame, classes: DataFrame, width: int, percent: int):
         self.texts, self.classes, self.width, self.percent = texts, classes, width, percent
-        self.sets, self.known = None, None
+        self.sets = None
 
-    def _sets_of(self, wanted: DataFrame) -> DataFrame:
-        """Sets of wanted(uid), stored; texts are looked up by id and hash of the text."""
+    def fetch(self, wanted: DataFrame) -> DataFrame:
+        """The sets(uid, set) known so far, with those of wanted(uid); each is made once."""
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("uid"), "uid", "left_anti")
         keyed = wanted.join(self.classes.select("uid", "id", "text_key"), "uid")
+        # texts are looked up by id and hash of the text
         found = (self.texts.join(keyed, self.texts["_id"].eqNullSafe(keyed["id"])
                                  & (self.texts["_text_key"] == keyed["text_key"]))
                  .select("uid", "_text").dropDuplicates(["uid"]))
-        return stored(found.mapInArrow(_sets(self.width), "uid long, set array<long>"), "sets", compression="zstd")
+        made = stored(found.mapInArrow(_sets(self.width), "uid long, set array<long>"), "sets", compression="zstd")
+        self.sets = made if self.sets is None else self.sets.unionByName(made)
+        return self.sets
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs(a, b) whose sets have intersection / union of at least percent / 100."""
-        wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        if self.known is None:
-            self.sets = self._sets_of(wanted)
-        else:
-            self.sets = self.sets.unionByName(self._sets_of(wanted.join(self.known, "uid", "left_anti")))
-        self.known = self.sets.select("uid")
-        right = pairs.join(self.sets.select(F.col("uid").alias("b"), F.col("set").alias("sb")), "b")
-        both = right.join(self.sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), "a")
+        sets = self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+        right = pairs.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("sb")), "b")
+        both = right.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.filter((100 + self.percent) * common >= self.percent * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs(a, na, b, nb) whose sizes allow the similarity."""
     return (pairs.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
             .select("a", "b").distinct())
@@ -183,17 +184,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verifier = _Verifier(
         docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_key"),
                     F.col(text_col).alias("_text")), classes, width, percent)
-    links = stored(verifier.links(stored(_possible(star, classes, percent), "pairs")), "links")
-
-    for wave in (BEST, None):
-        roots = _roots(shared.select("uid").distinct(), links)
-        pairs = stored(_open_pairs(shared, classes, roots, percent, wave), "pairs")
-        if pairs.isEmpty():
-            break
-        links = links.unionByName(stored(verifier.links(pairs), "links"))
-
-    linked = components(links)
-    by_class = (classes.select("set_key", "uid").join(linked, classes["uid"] == linked["node"], "left")
+    tested = stored(_possible(star, percent), "pairs")
+    links = stored(verifier.links(tested), "links")
+
+    known = roots(shared.select("uid").distinct(), links)
+    open_rows, facts = shared.select("bucket", "band", "uid"), classes.select("uid", "n", "bands", "sketch")
+    best = stored(pairs_in_pieces(open_pieces(open_rows, facts, known), _alike(percent, BEST))
+                  .join(tested, ["a", "b"], "left_anti"), "pairs")
+    known = merged(known, stored(verifier.links(best), "links"))
+    left = stored(rows_in_pairs(open_pieces(open_rows, facts, known), _alike(percent, None)), "open-classes")
+    full = left.join(verifier.fetch(left.select("uid").distinct()), "uid")
+    known = merged(known, stored(pairs_in_pieces(full, _linked(percent)), "links"))
+
+    by_class = (classes.select("set_key", "uid").join(known, "uid", "left")
                 .select("set_key", F.coalesce("root", "uid").alias("component")))
     named = rows.join(by_class, "set_key", "left").select(
         "id", "text_key", "uid", F.col("n").alias("n_shingles"),
@@ -209,71 +212,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("keep_uid").isNull() | (F.col("uid") == F.col("keep_uid"))).alias("kept"))
 
 
-def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    linked = components(links)
-    return nodes.join(linked, nodes["uid"] == linked["node"], "left").select(
-        "uid", F.coalesce("root", "uid").alias("root"))
-
-
-def _open_pairs(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Pairs of unsettled buckets that may be similar, across components.
-
-    The rows of a bucket are cut into blocks; each block of the rows outside
-    the bucket's largest component meets every block of the bucket in a task
-    of its own.
-    """
-    rooted = stored(shared.select("bucket", "band", "uid", "first").join(roots, "uid"), "rooted")
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = (sizes.groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
-        # the star has compared every pair of a bucket of two
-        .filter("parts > 1 and size > 2")
-        .select("bucket", F.col("top.root").alias("main"), "size"))
-    rows = rooted.join(open_, "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int")).withColumn("blocks", blocks)
-    rows = rows.join(classes.select("uid", "n", "bands", "sketch"), "uid")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    right = rows.select("bucket", F.col("block").alias("rb"), F.explode(every).alias("lb"), F.lit(False).alias("left"),
-                        "band", "uid", "root", "n", "bands", "sketch")
-    left = rows.filter(F.col("root") != F.col("main")).select(
-        "bucket", F.explode(every).alias("rb"), F.col("block").alias("lb"), F.lit(True).alias("left"),
-        "band", "uid", "root", "n", "bands", "sketch")
-    found = right.unionByName(left).groupBy("bucket", "lb", "rb").applyInArrow(
-        _compare(percent), "a long, b long, agreeing int")
-    found = found.groupBy("a", "b").agg(F.first("agreeing").alias("agreeing"))
-    if best is None:
-        return found.select("a", "b")
-    # the most alike partners of each row: at most ``best``, the rest in the next wave
-    score = F.struct("agreeing", F.greatest("a", "b"), F.least("a", "b"))
-    either = found.select("a", "b", "agreeing", F.explode(F.array("a", "b")).alias("uid"))
-    top = either.groupBy("uid").agg(F.max(score).alias("t")).select(
-        F.col("t.col2").alias("a"), F.col("t.col3").alias("b"))
-    return top.distinct()
-
-
-def _compare(percent: int):
-    def run(table):
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "agreeing": pa.array([], pa.int32())})
-        is_left = np.array(table.column("left").to_pylist(), bool)
-        if not is_left.any() or is_left.all():
-            return none
-        uid, root = table.column("uid").to_numpy(), table.column("root").to_numpy()
-        n, band = table.column("n").to_numpy(), table.column("band").to_numpy()
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        codes = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(uid), -1)
-        li, ri = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        a, b, agreeing = [], [], []
-        for i in li.tolist():
-            r = ri[(root[ri] != root[i]) & (100 * np.minimum(n[ri], n[i]) >= percent * np.maximum(n[ri], n[i]))]
-            # pairs belong to the first band they share
+def _alike(percent: int, best: int | None):
+    """Pairs of a piece that may be similar: by size, by equal coordinates, and in the first band they share."""
+    def near(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+        root, band, n = rows["root"], rows["band"], np.array(rows["n"], np.int64)
+        bands = np.array(rows["bands"], np.int64)
+        codes = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(len(n), -1)
+        left, right = np.flatnonzero(rows["left"]), np.flatnonzero(~rows["left"])
+        a, b = [left[:0]], [left[:0]]
+        for i in left.tolist():
+            r = right[root[right] != root[i]]
+            r = r[100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i])]
             r = r[(bands[r] == bands[i]).argmax(axis=1) == band[i]] if len(r) else r
             equal = (codes[r] == codes[i]).sum(axis=1)
             r, equal = r[equal >= AGREEING], equal[equal >= AGREEING]
-            a.append(np.minimum(uid[r], uid[i])), b.append(np.maximum(uid[r], uid[i])), agreeing.append(equal)
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "agreeing": np.concatenate(agreeing).astype(np.int32)})
-
-    return run
+            if best is not None and len(r) > best:
+                r = r[np.argpartition(-equal, best)[:best]]
+            a.append(np.full(len(r), i)), b.append(r)
+        return np.concatenate(a), np.concatenate(b)
+
+    return near
+
+
+def _linked(percent: int):
+    """Links of a piece: one to each component for each left row, found by full sets, the most alike first."""
+    alike = _alike(percent, None)
+
+    def near(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.sort(np.asarray(s, np.int64)) for s in rows["set"]]
+        codes = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(len(sets), -1)
+        a, b = alike(rows)
+        order = np.lexsort((-(codes[a] == codes[b]).sum(axis=1), a))
+        done, out = set(), []
+        for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            if (i, rows["root"][j]) not in done:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if (100 + percent) * common >= percent * (len(sets[i]) + len(sets[j])):
+                    done.add((i, rows["root"][j]))
+                    out.append((i, j))
+        return np.array([i for i, _ in out], int), np.array([j for _, j in out], int)
+
+    return near
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
