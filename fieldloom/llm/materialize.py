@@ -1,15 +1,19 @@
 """Training-order materialisation: token sequences written in a keyed random order.
 
 Every document is cut into sequences of ``length`` tokens, the last one padded.
-All N sequences are numbered, and a keyed Feistel permutation of the numbers
-gives each its slot; where the permutation of the enclosing power of four
-leaves 0..N-1 it is applied again (cycle-walking), so the slots are exactly
-0..N-1. Slot ranges are dealt to tasks and written as shards of fixed stride:
-sequence ``slot`` lies in shard slot // per_shard at byte
-(slot % per_shard) * stride, so a reader can resume anywhere by arithmetic.
-
-A shard is written under a temporary name and renamed; a repeated task writes
-the same bytes. The manifest has one row per shard.
+All N sequences are numbered in the order of the input; a keyed Feistel
+permutation of the numbers gives each its slot. Where the permutation of the
+enclosing power of four leaves 0..N-1 it is applied again (cycle-walking), so
+the slots are exactly 0..N-1. Slot ranges are dealt to tasks and written as
+shards of fixed stride: sequence ``slot`` lies in shard slot // per_shard at
+byte (slot % per_shard) * stride, so a reader can resume anywhere by arithmetic.
+
+Token ids are moved once and never written but in the shards: a first pass
+counts the sequences of every input task, a second one numbers and sends them.
+Both read the input in the same splits, which are pinned for the session; a
+task of the second pass that does not see exactly what the first one counted
+raises an error. A shard is written under a temporary name and renamed; a
+repeated task writes the same bytes.
 
 Results in special cases: a null or empty text has one sequence with the
 separator alone; rows that repeat id and text are sequences of their own; a
@@ -31,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.arrays import mix
-from fieldloom.llm.common import partitions, prepare, private, running_total
-from fieldloom.llm.packing import token_table
-from fieldloom.llm.tokens import tokenizer_path
+from fieldloom.llm.common import partitions, prepare, private, stored
+from fieldloom.llm.packing import SEPARATOR
+from fieldloom.llm.tokens import encoder, tokenizer_path
 from fieldloom.session import work_dir
 
 LENGTH = 512
@@ -41,8 +45,9 @@ PER_SHARD = 4096
 PADDING = 0
 ROUNDS = 6
 
-_MANIFEST = "file string, shard long, first_slot long, sequences long, bytes long, sha256 string"
-_INDEX = "slot long, id long, sequence long, tokens long"
+_MANIFEST = "file string, shard long, first_slot long, sequences long, sha256 string"
+_INDEX = "slot long, id long, sequence long, tokens long, shard long, sha256 string"
+_COUNTS = "part int, sequences long, documents long, check long"
 
 
 def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -61,110 +66,143 @@ def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(n: int, length: int, key: int):
-    """mapInArrow function: documents with their first sequence number to one row per sequence."""
+class _Seen:
+    """What a task has read: documents, sequences, and a checksum of the texts in their order."""
+
+    def __init__(self):
+        self.part = TaskContext.get().partitionId()
+        self.documents = self.sequences = self.check = 0
+
+    def add(self, text_keys: pa.Array, counts: np.ndarray) -> None:
+        self.documents += len(counts)
+        self.sequences += int(counts.sum())
+        self.check = zlib.crc32(text_keys.to_numpy(zero_copy_only=False).tobytes(), self.check)
+
+    def row(self) -> tuple[int, int, int, int]:
+        return self.part, self.sequences, self.documents, self.check
+
+
+def _ids(code, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit ids of all texts with a separator after each, and the offsets between texts."""
+    ids, at = code.encode(texts)
+    return np.insert(ids.astype("<u2"), at[1:], SEPARATOR), at + np.arange(len(at))
+
+
+def _counted(path: str, length: int):
+    """mapInArrow function over (id, text_key, text): one row per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, seen = encoder(path), _Seen()
         for batch in batches:
-            ids, first, blobs = (batch.column(c).to_pylist() for c in ("id", "first", "ids"))
-            doc, sequence, tokens, numbers, data = [], [], [], [], []
-            for i, blob in enumerate(blobs):
-                for s, at in enumerate(range(0, len(blob), 2 * length)):
-                    piece = blob[at:at + 2 * length]
-                    doc.append(ids[i]), sequence.append(s), tokens.append(len(piece) // 2)
-                    numbers.append(first[i] + s), data.append(piece)
-            slots = feistel(np.array(numbers, np.int64), n, key)
+            _, at = _ids(code, batch.column(2))
+            seen.add(batch.column(1), -(-np.diff(at) // length))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x], t) for x, t in zip(seen.row(), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+            names=[f.split()[0] for f in _COUNTS.split(", ")])
+
+    return run
+
+
+def _sequences(path: str, length: int, key: int, n: int, counted: dict[int, tuple], first: dict[int, int]):
+    """mapInArrow function over (id, text_key, text): one row per sequence with its slot."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, seen = encoder(path), _Seen()
+        for batch in batches:
+            ids, at = _ids(code, batch.column(2))
+            counts = -(-np.diff(at) // length)
+            row = np.repeat(np.arange(len(counts)), counts)
+            sequence = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            slots = feistel(first[seen.part] + seen.sequences + np.arange(len(row)), n, key)
+            seen.add(batch.column(1), counts)
+            begin = at[row] + sequence * length
+            end = np.minimum(begin + length, at[row + 1])
+            raw = ids.tobytes()
+            data = [raw[2 * a:2 * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), pa.array(doc, pa.int64()), pa.array(sequence, pa.int64()),
-                 pa.array(tokens, pa.int64()), pa.array(data, pa.binary())],
-                names=["slot", "id", "sequence", "tokens", "ids"])
+                [pa.array(slots), batch.column(0).take(pa.array(row)), pa.array(sequence), pa.array(end - begin),
+                 pa.array(data, pa.binary())], names=["slot", "id", "sequence", "tokens", "ids"])
+        if seen.row() != counted[seen.part]:
+            raise RuntimeError(f"input task {seen.part} read {seen.row()}, but {counted[seen.part]} was counted")
 
     return run
 
 
 def _writer(folder: str, length: int, per_shard: int):
+    """mapInArrow function over sequences in slot order: writes shards, returns the index."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, top = fs.FileSystem.from_uri(folder)
         attempt = f"{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
         pad = PADDING.to_bytes(2, "little")
-        shard, out, done = None, None, []
+        shard, out, rows = None, None, []
 
         def close():
             out.close()
-            where.move(temporary, posixpath.join(top, name))
-            done.append((name, shard, shard * per_shard, count, count * 2 * length, sha.hexdigest()))
+            where.move(temporary, posixpath.join(top, f"shard-{shard:08d}.bin"))
+            # the shard's digest stands at its last sequence
+            rows[-1] = (*rows[-1][:5], sha.hexdigest())
 
         for batch in batches:
-            for slot, data in zip(batch.column("slot").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for slot, i, sequence, tokens, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if slot // per_shard != shard:
                     if out is not None:
                         close()
                     shard, count, sha = slot // per_shard, 0, hashlib.sha256()
-                    name = f"shard-{shard:08d}.bin"
                     temporary = posixpath.join(top, f"_writing-{attempt}-{shard}")
                     out = where.open_output_stream(temporary, compression=None)
                 if slot != shard * per_shard + count:
                     raise ValueError(f"slot {slot} is missing or repeated")
-                row = data + pad * (length - len(data) // 2)
+                row = data + pad * (length - tokens)
                 out.write(row)
                 sha.update(row)
                 count += 1
-            if done:
-                yield _batch(done)
-                done.clear()
+                rows.append((slot, i, sequence, tokens, shard, None))
+            # all but the last row, which may still get the digest
+            if len(rows) > 1:
+                yield _index_rows(rows[:-1])
+                del rows[:-1]
         if out is not None:
             close()
-            yield _batch(done)
+            yield _index_rows(rows)
 
     return run
 
 
-def _batch(done: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)],
-                                      names=[f.split()[0] for f in _MANIFEST.split(", ")])
+def _index_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64()] * 5 + [pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)],
+                                      names=[f.split()[0] for f in _INDEX.split(", ")])
 
 
 def materialise(docs: DataFrame, folder: str, key: int, id_col: str = "doc_id", text_col: str = "text",
                 length: int = LENGTH, per_shard: int = PER_SHARD, path: str | None = None) -> DataFrame:
     """Write the shards, the index (which sequence is in which slot) and the manifest under folder; returns the manifest."""
     spark = prepare(docs.sparkSession)
+    path = path or tokenizer_path()
     where, top = fs.FileSystem.from_uri(folder)
     where.create_dir(top, recursive=True)
-    table = token_table(docs, id_col, text_col, id_col, path or tokenizer_path())
-    counts = table.select("uid", F.xxhash64("id", "text_key").alias("_order"),
-                          F.ceil(F.col("n") / length).cast("long").alias("count"))
-    numbered = running_total(counts, ["_order", "uid"], "count", "first", "sequence-numbers")
-    n = counts.agg(F.sum("count")).first()[0] or 0
-    placed = (table.join(numbered.select("uid", "first"), "uid").select("id", "first", "ids")
-              .mapInArrow(_sequences(n, length, key), "slot long, id long, sequence long, tokens long, ids binary"))
+    # splits follow from the files and this setting alone, not from the cores of the moment
+    spark.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", str(partitions(spark))))
+    texts = private(docs, id=F.col(id_col).cast("long"), text_key=F.xxhash64(F.col(text_col)), text=F.col(text_col))
+    counts = stored(texts.mapInArrow(_counted(path, length), _COUNTS), "sequence-counts").collect()
+    counted, first, n = {}, {}, 0       # one entry per input task
+    for c in sorted(counts, key=lambda c: c["part"]):
+        counted[c["part"]], first[c["part"]] = tuple(c), n
+        n += c["sequences"]
+    placed = texts.mapInArrow(_sequences(path, length, key, n, counted, first),
+                              "slot long, id long, sequence long, tokens long, ids binary")
     # the permutation spreads every document evenly, so equal slot ranges are equal work
     shards = max(1, -(-n // per_shard))
     tasks = min(shards, 4 * partitions(spark))
     task = F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")
-    ordered = placed.repartitionById(tasks, task).sortWithinPartitions("slot")
-    ordered.select("slot", "ids").mapInArrow(_writer(folder, length, per_shard), _MANIFEST).write.mode(
-        "overwrite").parquet(posixpath.join(folder, "_manifest"))
-    # the order is a pure function of the numbers: the index needs no token
-    (numbered.join(table.select("uid", "id", "n"), "uid")
-     .mapInArrow(_index(n, length, key), _INDEX)
-     .write.mode("overwrite").parquet(posixpath.join(folder, "_index")))
+    index = posixpath.join(folder, "_index")
+    (placed.repartitionById(tasks, task).sortWithinPartitions("slot")
+     .mapInArrow(_writer(folder, length, per_shard), _INDEX).write.mode("overwrite").parquet(index))
+    (spark.read.schema(_INDEX).parquet(index).groupBy("shard").agg(
+        F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("sequences"), F.max("sha256").alias("sha256"))
+     .select(F.format_string("shard-%08d.bin", "shard").alias("file"), "shard", "first_slot", "sequences", "sha256")
+     .write.mode("overwrite").parquet(posixpath.join(folder, "_manifest")))
     return spark.read.schema(_MANIFEST).parquet(posixpath.join(folder, "_manifest"))
 
 
-def _index(n: int, length: int, key: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, count, size = (batch.column(c).to_numpy() for c in ("first", "count", "n"))
-            row = np.repeat(np.arange(len(count)), count)
-            sequence = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            slots = feistel(first[row] + sequence, n, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), batch.column("id").take(pa.array(row)), pa.array(sequence),
-                 pa.array(np.minimum(length, size[row] - sequence * length))], names=["slot", "id", "sequence", "tokens"])
-
-    return run
-
-
 def _reader(folder: str, length: int, per_shard: int, from_slot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, top = fs.FileSystem.from_uri(folder)
@@ -202,5 +240,5 @@ def training_order(docs: DataFrame, key: int, length: int = LENGTH, per_shard: i
     spark = docs.sparkSession
     folder = work_dir(spark, "training-order")
     materialise(docs, folder, key, length=length, per_shard=per_shard, **columns)
-    index = spark.read.schema(_INDEX).parquet(posixpath.join(folder, "_index"))
+    index = spark.read.schema(_INDEX).parquet(posixpath.join(folder, "_index")).drop("shard", "sha256")
     return index.join(read_slots(spark, folder, length, per_shard).drop("ids"), "slot")
