@@ -241,4 +241,5 @@ def training_order(docs: DataFrame, key: int, length: int = LENGTH, per_shard: i
     folder = work_dir(spark, "training-order")
     materialise(docs, folder, key, length=length, per_shard=per_shard, **columns)
     index = spark.read.schema(_INDEX).parquet(posixpath.join(folder, "_index")).drop("shard", "sha256")
-    return index.join(read_slots(spark, folder, length, per_shard).drop("ids"), "slot")
+    # the planner cannot know how many rows the shards hold: neither side may be broadcast
+    return index.join(read_slots(spark, folder, length, per_shard).drop("ids").hint("merge"), "slot")
