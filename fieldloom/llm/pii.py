@@ -40,12 +40,12 @@ BASE = (
     ("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@"),
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
     # a longest run of digits with single separators, of 14 to 19 digits
-    ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])", r"[0-9]{2}"),
+    ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])", r"[0-9][\x20-]?[0-9]"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 )
 EXTRA = (
     ("phone_local", r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"[0-9]{3}[\x20.-][0-9]{4}"),
-    ("card_like", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])", r"[0-9]{2}"),
+    ("card_like", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])", r"[0-9][\x20-]?[0-9]"),
     ("handle", r"(?<![A-Za-z0-9._%+@-])@[A-Za-z_][A-Za-z0-9_]{2,}+(?![A-Za-z0-9_.@-])", r"@"),
     ("secret", r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key)\x20{0,2}[=:]\x20{0,2}\"?[A-Za-z0-9_-]{16,}+", r"[=:]"),
 )

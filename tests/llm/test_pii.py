@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from llm_helpers import documents, frame
 
-from fieldloom.llm.pii import BASE_KINDS, KINDS, personal_spans, span_list
+from fieldloom.llm.pii import BASE_KINDS, KINDS, candidates, personal_spans, span_list
 
 # the published rules, as written
 RULES = {
@@ -55,6 +55,16 @@ def test_edges(spark):
     check(spark, EDGES)
 
 
+def test_fully_separated_cards(spark):
+    card = "4111111111111111"
+    texts = ["card " + " ".join(card), "-".join(card), "card " + " ".join(card[:-1] + "2"), "1 2 3"]
+    check(spark, texts)
+    assert expected(texts[0]) == "card:5:36" and expected(texts[2]) == ""
+    found = candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    like = {r["id"]: [KINDS[s["kind"]] for s in r["extra"]] for r in found}
+    assert like == {0: [], 1: [], 2: ["card_like"], 3: []}
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab@.+-_% 0123456789()é🙂\n", max_size=60), min_size=60, max_size=60))
 def test_any_text(spark, texts):
