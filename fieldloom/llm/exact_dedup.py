@@ -118,8 +118,9 @@ def digest_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rounds, k = tree_shape(partitions(spark))
     leaves = k ** rounds
+    # a task may read several stored runs, in any order, so they are merged into one first
     entries = (runs.withColumns({"slot": F.pmod("part", F.lit(leaves)).cast("long"), "n": F.lit(1).cast("long")})
-               .select(*_ENTRY.names).mapInArrow(_merge, _ENTRY))
+               .select(*_ENTRY.names).sortWithinPartitions(*order).mapInArrow(_merge, _ENTRY))
     home = F.floor(F.col("home") * leaves / (1 << _HOME_BITS))
     for r in range(rounds):
         step = k ** r

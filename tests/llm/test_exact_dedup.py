@@ -67,3 +67,19 @@ def test_documents(spark):
         best[lower(r["text"])] = max(best[lower(r["text"])], r["doc_id"])
     got = {r["id"]: r["keep_id"] for r in digest_verdicts(documents(spark), keep="largest").collect()}
     assert got == {r["doc_id"]: best[lower(r["text"])] for r in rows}
+
+
+def test_one_task_reads_runs_of_one_text_in_descending_order(spark):
+    limits = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        # the larger file, which is read first, holds the larger ids
+        df = spark.range(0, 12_000, 1, 2).filter("id < 10 or id >= 6000").selectExpr("id as doc_id", "'hot' as text")
+        for keep, best in (("largest", 11_999), ("smallest", 0)):
+            got = digest_verdicts(df, keep=keep).groupBy("keep_id", "group_size").agg({"kept": "count"}).collect()
+            assert [tuple(r) for r in got] == [(best, 6010, 6010)]
+            assert [r["id"] for r in digest_verdicts(df, keep=keep).filter("kept").collect()] == [best]
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
