@@ -5,11 +5,11 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from fieldloom.session import local_session  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
+from small_data import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
-from conftest import SMALL
+from small_data import SMALL
 from fieldloom.plans.catalog import QUERIES
 from fieldloom.plans.oracle import ORACLE
 

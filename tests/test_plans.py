@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SMALL
+from small_data import SMALL
 from fieldloom.operators import resumes, stats
 from fieldloom.plans.catalog import QUERIES
 from fieldloom.sources import derived

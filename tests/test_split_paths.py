@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from conftest import SMALL
+from small_data import SMALL
 from test_oracle import ordered
 
 NAMES = (
