@@ -15,6 +15,8 @@ from fieldloom.llm.materialize import training_order
 from fieldloom.llm.near_dedup import near_duplicates
 from fieldloom.llm.packing import pack
 from fieldloom.llm.pii import BASE_KINDS, masked_counts, personal_spans, span_list
+from fieldloom.llm.quality import COUNTS, judge
+from fieldloom.llm.quality import train as train_quality
 from fieldloom.llm.sharding import byte_shards
 from fieldloom.llm.warc import archive_round_trip
 
@@ -85,6 +87,12 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(_table(spark, sf_dir, "documents"), key=2024).withColumnRenamed("id", "doc_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    return judge(docs.select("doc_id", "text"), model).select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -96,6 +104,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_training_order": op10_training_order,
+    "op11_quality_rules": op11_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 
