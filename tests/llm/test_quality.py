@@ -94,7 +94,7 @@ def test_scores_follow_the_stated_directions():
 
 
 def test_special_cases(spark):
-    good, bad = "some plain{0} words of{0} text number{0} ", "# $$$ %%%{0} word{0} &&& ***{0} <<< >>> | "
+    good, bad = "some plain{0} words of{0} text number{0} ", "# $$${0} %%%{0} word{0} &&&{0} ***{0} <<<{0} | "
     fine = [(i, " ".join(good.format(i * 100 + j) for j in range(12)), "en", "s") for i in range(40)]
     junk = [(100 + i, " ".join(bad.format(i * 100 + j) for j in range(12)), "en", "s") for i in range(40)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(40)]
