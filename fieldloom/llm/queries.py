@@ -14,6 +14,7 @@ from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.materialize import training_order
 from fieldloom.llm.near_dedup import near_duplicates
 from fieldloom.llm.packing import pack
+from fieldloom.llm.phrases import collocations
 from fieldloom.llm.pii import BASE_KINDS, masked_counts, personal_spans, span_list
 from fieldloom.llm.quality import COUNTS, judge
 from fieldloom.llm.quality import train as train_quality
@@ -93,6 +94,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs.select("doc_id", "text"), model).select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents")).withColumnRenamed("group", "lang")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_training_order": op10_training_order,
     "op11_quality_rules": op11_quality_rules,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -122,6 +128,29 @@ ORACLE = {
         SELECT page_id, n AS payload_bytes, d AS payload_digest,
                CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> f THEN f END AS refers_to FROM f""",
+    "op13_phrases": f"""
+        WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+               SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_AZ}, '[.,;:!?\x0A-\x0D]')) AS piece
+               FROM documents)),
+             n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+             f AS (SELECT lang, m, phrase, count(*) AS f FROM (
+               SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+               FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest(range(1, 6)) AS m)
+               WHERE i + m - 1 <= len(w)) GROUP BY ALL HAVING count(*) >= 100),
+             c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m > 1),
+             cuts AS (SELECT c.lang, c.m, c.phrase, c.a, k, l.f AS l, r.f AS r, n.n,
+                 CAST(CAST(1000 AS HUGEINT) * c.a * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+               FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+               JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(words[1:k], ' ')
+               JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(words[k + 1:], ' ') JOIN n ON n.lang = c.lang),
+             lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             held AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c x
+               ON x.lang = s.lang AND x.m > s.m AND 100 * x.a >= 100 * s.a
+               AND contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' '))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score
+        FROM lowest ANTI JOIN held USING (lang, phrase)
+        QUALIFY rank <= 2000""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
