@@ -50,20 +50,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number per word, equal for equal words and no others."""
-    return encoded(data, starts, ends).indices.to_numpy()
-
-
-def encoded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
-    """The pieces data[start:end], in order and not overlapping, as a dictionary array."""
+    """A number per word, equal for equal words and no others; words are in order and do not overlap."""
     edge = np.zeros(len(data) + 1, np.int8)
     edge[starts] += 1
     edge[ends] -= 1
-    packed = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
-    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
-    strings = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(packed)])
-    return strings.dictionary_encode()
+    return encoded(data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)], ends - starts).indices.to_numpy()
+
+
+def encoded(packed: np.ndarray, sizes: np.ndarray) -> pa.DictionaryArray:
+    """Pieces of these sizes, one after the other, as a dictionary array."""
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
 
 
 def _grow(n: int) -> None:

@@ -83,54 +83,74 @@ def _group_hashes(groups: list[str]) -> np.ndarray:
     return piece_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - np.array([len(g) for g in raw], np.int64), ends)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """(group, text) rows in stretches of about ``limit`` bytes; longer texts are cut where pieces end."""
-    held, size = [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Groups, bytes and ends of texts in stretches of about ``limit`` bytes; longer texts are cut where pieces end."""
+    groups, parts, size = [], [], 0
+
+    def chunk():
+        return list(groups), np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
     for batch in batches:
         for group, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = text.as_buffer()
             if raw is None:
                 continue
-            view, at = memoryview(raw), 0
-            while at < len(view):
-                end = len(view)
+            data, at = np.frombuffer(raw, np.uint8), 0
+            while at < len(data):
+                end = len(data)
                 if end - at > limit:
-                    ends = np.flatnonzero(_PIECE[np.frombuffer(view[at:], np.uint8)])
+                    ends = np.flatnonzero(_PIECE[data[at:]])
                     far = int(np.searchsorted(ends, limit))
                     if len(ends):
                         end = at + int(ends[far - 1 if far else 0]) + 1
                 if size and size + end - at > limit:
-                    yield held
-                    held, size = [], 0
-                held.append((group, bytes(view[at:end])))
+                    yield chunk()
+                    groups, parts, size = [], [], 0
+                groups.append(group)
+                parts.append(data[at:end])
                 size, at = size + end - at, end
-    if held:
-        yield held
+    if size:
+        yield chunk()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
-    for held in _chunks(batches, limit):
-        data = LOWER[np.frombuffer(b"".join(text for _, text in held), np.uint8)]
-        offsets = np.concatenate(([0], np.cumsum([len(text) for _, text in held])))
-        inside = ~_GAP[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        start, end = inside.copy(), inside.copy()
-        start[1:] &= ~inside[:-1] | edge[1:-1]
-        end[:-1] &= ~inside[1:] | edge[1:-1]
-        starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-        del inside, start, end, edge
-        text = np.searchsorted(offsets, starts, side="right") - 1
-        piece = np.searchsorted(np.flatnonzero(_PIECE[data]), starts)
-        linked = np.append((text[1:] == text[:-1]) & (piece[1:] == piece[:-1]), False) if len(starts) else np.zeros(0, bool)
-        coded = encoded(data, starts, ends)
-        groups = sorted({g for g, _ in held})
-        number = {g: i for i, g in enumerate(groups)}
-        of_text = np.array([number[g] for g, _ in held], np.int64)
-        keys = of_text[text] * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+    for of_text, data, text_ends in _chunks(batches, limit):
+        yield _shard(of_text, LOWER[data], text_ends)
+
+
+def _shard(of_text: list[str], data: np.ndarray, text_ends: np.ndarray) -> Shard:
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    inside = ~_GAP[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[0], edge[text_ends] = True, True
+    mark = inside.copy()
+    mark[1:] &= ~inside[:-1] | edge[1:-1]
+    starts = np.flatnonzero(mark).astype(small)
+    mark = inside.copy()
+    mark[:-1] &= ~inside[1:] | edge[1:-1]
+    sizes = np.flatnonzero(mark).astype(small) + small(1) - starts
+    del mark, edge
+    coded = encoded(data[inside], sizes)
+    del inside, sizes
+    of_word = np.diff(np.searchsorted(starts, text_ends), prepend=0)     # words of each text
+    linked = np.zeros(len(starts), bool)
+    linked[:-1] = np.diff(np.searchsorted(np.flatnonzero(_PIECE[data]), starts)) == 0
+    ends = np.cumsum(of_word)
+    linked[ends[ends > 0] - 1] = False
+    del starts
+    groups = sorted(set(of_text))
+    number = {g: i for i, g in enumerate(groups)}
+    width = max(1, len(coded.dictionary))
+    keys = np.repeat(np.array([number[g] for g in of_text], np.int64) * width, of_word)
+    keys += coded.indices.to_numpy()
+    if width * len(groups) < 8 * max(1 << 20, len(keys)):
+        times = np.bincount(keys, minlength=width * len(groups))
+        own = np.flatnonzero(times)
+        times, fresh = times[own], np.cumsum(times > 0, dtype=np.int64) - 1
+        ids = fresh[keys]
+    else:
         own, ids, times = np.unique(keys, return_inverse=True, return_counts=True)
-        width = max(1, len(coded.dictionary))
-        yield Shard(groups, own // width, own % width, coded.dictionary, ids, times, linked)
+    return Shard(groups, own // width, own % width, coded.dictionary, ids.astype(np.int32), times, linked)
 
 
 def _levels(shard: Shard, known: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
@@ -148,7 +168,7 @@ def _levels(shard: Shard, known: np.ndarray, keep: Callable[[np.ndarray, np.ndar
         at = np.flatnonzero(live[:-1] & live[1:] & reach[:-1])
         if not len(at):
             return
-        keys = ids[at] * len(hashes) + ids[at + 1]
+        keys = ids[at].astype(np.int64) * len(hashes) + ids[at + 1]
         _, where, number, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         places = at[where]
         hashes = mix(hashes[ids[places]] * np.uint64(0x9E3779B97F4A7C15)
@@ -156,7 +176,8 @@ def _levels(shard: Shard, known: np.ndarray, keep: Callable[[np.ndarray, np.ndar
         kept = keep(places, times, hashes)
         if kept.any():
             yield length, places[kept], times[kept], hashes[kept]
-        live, ids = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
+        del keys
+        live, ids = np.zeros(len(ids), bool), np.zeros(len(ids), np.int32)
         live[at] = kept[number]
         ids[at] = number
         reach = reach & np.append(shard.linked[length - 1:], np.zeros(length - 1, bool))[:len(reach)]
