@@ -192,20 +192,64 @@ def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _bitmap(bits: DataFrame) -> np.ndarray:
-    """Rows of (bit) as a bitmap: put together in blocks on the executors, so that the driver gets 2^BITS bits at most."""
-    def block(key: tuple, table: pa.Table) -> pa.Table:
-        flags = np.zeros(1 << _BLOCK_BITS, bool)
-        flags[table["bit"].to_numpy() & ((1 << _BLOCK_BITS) - 1)] = True
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()),
-                         "flags": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
-
+class _Union:
+    """A set of bits in blocks, of which only those that are not empty take memory (16 KB each)."""
+
+    def __init__(self):
+        self.blocks: dict[int, np.ndarray] = {}
+
+    def add(self, bits: np.ndarray) -> None:
+        bits = np.unique(bits)
+        block = bits >> _BLOCK_BITS
+        for b, inside in zip(*_runs(block, bits & ((1 << _BLOCK_BITS) - 1)), strict=True):
+            flags = self._block(b)
+            np.bitwise_or.at(flags, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+
+    def merge(self, block: int, packed: bytes) -> None:
+        flags = self._block(block)
+        if len(packed) == len(flags):
+            flags |= np.frombuffer(packed, np.uint8)
+        else:
+            inside = np.frombuffer(packed, np.uint32)
+            np.bitwise_or.at(flags, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+
+    def _block(self, b: int) -> np.ndarray:
+        return self.blocks.setdefault(b, np.zeros(1 << (_BLOCK_BITS - 3), np.uint8))
+
+    def rows(self) -> pa.RecordBatch:
+        """(block, packed): the places of a block's bits, or all of its bits where that is shorter."""
+        packed = []
+        for flags in self.blocks.values():
+            inside = np.flatnonzero(np.unpackbits(flags, bitorder="little")).astype(np.uint32)
+            packed.append((inside if inside.nbytes < len(flags) else flags).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(self.blocks), pa.int64()), pa.array(packed, pa.binary())], ["block", "packed"])
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct keys of sorted ones, and the values of each."""
+    cut = np.flatnonzero(np.diff(keys, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
+    return keys[cut].tolist(), np.split(values, cut[1:]) if len(cut) else []
+
+
+_BIT_ROWS = "block long, packed binary"
+
+
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """The union of (block, packed) rows; executors put blocks together, the driver gets 2^BITS bits at most."""
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = _Union()
+        for batch in batches:
+            for block, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                union.merge(block, packed)
+        yield union.rows()
+
+    whole = _Union()
+    for row in rows.repartition("block").mapInArrow(merged, _BIT_ROWS).toLocalIterator():
+        whole.merge(row["block"], row["packed"])
     out = np.zeros(1 << (BITS - 3), np.uint8)
-    width = 1 << (_BLOCK_BITS - 3)
-    packed = (bits.distinct().withColumn("block", F.shiftright("bit", _BLOCK_BITS))
-              .groupBy("block").applyInArrow(block, "block long, flags binary"))
-    for row in packed.toLocalIterator():
-        out[row["block"] * width:(row["block"] + 1) * width] = np.frombuffer(row["flags"], np.uint8)
+    for block, flags in whole.blocks.items():
+        out[block * len(flags):(block + 1) * len(flags)] = flags
     return out
 
 
@@ -225,6 +269,7 @@ def _count_words(limit: int):
 
 def _word_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bits of (group, word) rows."""
+    union = _Union()
     for batch in batches:
         raw = [w.encode() for w in batch.column(1).to_pylist()]
         ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
@@ -233,13 +278,15 @@ def _word_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = batch.column(0).to_pylist()
         names = sorted(set(groups))
         number = {g: i for i, g in enumerate(names)}
-        bits = _bits(mix(own + _group_hashes(names)[[number[g] for g in groups]])) if raw else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bits)], ["bit"])
+        if raw:
+            union.add(_bits(mix(own + _group_hashes(names)[[number[g] for g in groups]])))
+    yield union.rows()
 
 
 def _mine(words: np.ndarray, totals: dict[str, int], support: int, longest: int, limit: int):
     """Pass 2: the bits of the phrases that are frequent in a shard."""
     def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = _Union()
         for shard in _shards(batches, limit):
             mine = np.bincount(shard.group, shard.times, len(shard.groups)).astype(np.int64)
             lowered = np.array([max(1, -(-support * int(w) // totals[g])) if totals.get(g) else 1
@@ -248,9 +295,9 @@ def _mine(words: np.ndarray, totals: dict[str, int], support: int, longest: int,
             def keep(places, times, hashes, shard=shard, lowered=lowered):
                 return times >= lowered[shard.group[shard.ids[places]]]
 
-            found = [_bits(h) for _, _, _, h in _levels(shard, _set(words, shard.hashes()), keep, longest)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))], ["bit"])
+            for _, _, _, hashes in _levels(shard, _set(words, shard.hashes()), keep, longest):
+                union.add(_bits(hashes))
+        yield union.rows()
     return mined
 
 
@@ -286,12 +333,12 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "
     words = one.filter("word is not null")
     # a bounded table: groups beyond it are mined at the lowest support
     largest = {r["group"]: r["n"] for r in totals.orderBy(F.desc("n"), "group").limit(THRESHOLDS).collect()}
-    known = spark.sparkContext.broadcast(_bitmap(words.select("group", "word").mapInArrow(_word_bits, "bit long")))
+    known = spark.sparkContext.broadcast(_bitmap(words.select("group", "word").mapInArrow(_word_bits, _BIT_ROWS)))
 
     def local(batches):
         return _mine(known.value, largest, support, longest, shard)(batches)
 
-    union = spark.sparkContext.broadcast(_bitmap(texts.mapInArrow(local, "bit long")))
+    union = spark.sparkContext.broadcast(_bitmap(texts.mapInArrow(local, _BIT_ROWS)))
 
     def exact(batches):
         return _count_phrases(known.value, union.value, longest, shard)(batches)
