@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from fieldloom.llm.conversations import damaged, repair_digests
 from fieldloom.llm.decontaminate import contamination
 from fieldloom.llm.exact_dedup import digest_verdicts
 from fieldloom.llm.langid import identify, in_fold, train
@@ -94,6 +95,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs.select("doc_id", "text"), model).select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_digests(damaged(conversations), conversations)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents")).withColumnRenamed("group", "lang")
 
@@ -110,6 +116,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_training_order": op10_training_order,
     "op11_quality_rules": op11_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
