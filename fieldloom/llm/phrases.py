@@ -48,6 +48,7 @@ SUPPORT = 100
 TOP = 2000
 THRESHOLDS = 4096       # groups whose lowered support is sent to the tasks; the others are mined at 1
 _BLOCK_BITS = 17
+_ROWS = 1 << 15
 _EXACT = "decimal(38,0)"
 
 _PIECE = np.zeros(256, bool)
@@ -88,7 +89,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
     groups, parts, size = [], [], 0
 
     def chunk():
-        return list(groups), np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        """What is held, and hold it no longer."""
+        nonlocal groups, parts, size
+        out = groups, np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        groups, parts, size = [], [], 0
+        return out
 
     for batch in batches:
         for group, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -99,13 +104,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
             while at < len(data):
                 end = len(data)
                 if end - at > limit:
-                    ends = np.flatnonzero(_PIECE[data[at:]])
+                    ends = np.flatnonzero(_mapped(_PIECE, data[at:]))
                     far = int(np.searchsorted(ends, limit))
                     if len(ends):
                         end = at + int(ends[far - 1 if far else 0]) + 1
                 if size and size + end - at > limit:
                     yield chunk()
-                    groups, parts, size = [], [], 0
                 groups.append(group)
                 parts.append(data[at:end])
                 size, at = size + end - at, end
@@ -114,30 +118,40 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
-    for of_text, data, text_ends in _chunks(batches, limit):
-        yield _shard(of_text, LOWER[data], text_ends)
+    yield from (_shard(*held) for held in _chunks(batches, limit))
+
+
+def _mapped(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """table[data] for bytes, without an index array of eight times their size."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
 
 
 def _shard(of_text: list[str], data: np.ndarray, text_ends: np.ndarray) -> Shard:
+    data = _mapped(LOWER, data)
     small = np.int32 if len(data) < 1 << 31 else np.int64
-    inside = ~_GAP[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[0], edge[text_ends] = True, True
-    mark = inside.copy()
-    mark[1:] &= ~inside[:-1] | edge[1:-1]
+    gap = _mapped(_GAP, data)
+    # a text's first byte may start a word, and its last end one, whatever lies beside it
+    text_starts = np.append(0, text_ends[:-1])
+    mark = ~gap
+    mark[1:] &= gap[:-1]
+    mark[text_starts] = ~gap[text_starts]
     starts = np.flatnonzero(mark).astype(small)
-    mark = inside.copy()
-    mark[:-1] &= ~inside[1:] | edge[1:-1]
-    sizes = np.flatnonzero(mark).astype(small) + small(1) - starts
-    del mark, edge
-    coded = encoded(data[inside], sizes)
-    del inside, sizes
+    np.logical_not(gap, out=mark)
+    mark[:-1] &= gap[1:]
+    mark[text_ends - 1] = ~gap[text_ends - 1]
+    sizes = np.flatnonzero(mark).astype(small)
+    sizes += small(1)
+    sizes -= starts
+    del mark
     of_word = np.diff(np.searchsorted(starts, text_ends), prepend=0)     # words of each text
-    linked = np.zeros(len(starts), bool)
-    linked[:-1] = np.diff(np.searchsorted(np.flatnonzero(_PIECE[data]), starts)) == 0
-    ends = np.cumsum(of_word)
-    linked[ends[ends > 0] - 1] = False
+    linked = np.ones(len(starts), bool)
+    for cut in (np.searchsorted(starts, np.flatnonzero(_mapped(_PIECE, data))), np.cumsum(of_word)):
+        linked[cut[cut > 0] - 1] = False
     del starts
+    packed = data[~gap]
+    del data, gap
+    coded = encoded(packed, sizes)
+    del packed, sizes
     groups = sorted(set(of_text))
     number = {g: i for i, g in enumerate(groups)}
     width = max(1, len(coded.dictionary))
@@ -153,6 +167,18 @@ def _shard(of_text: list[str], data: np.ndarray, text_ends: np.ndarray) -> Shard
     return Shard(groups, own // width, own % width, coded.dictionary, ids.astype(np.int32), times, linked)
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct key, every key's number among them, and their occurrences."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(first, dtype=np.int32) - 1
+    begin = np.flatnonzero(first)
+    return order[begin], number, np.diff(begin, append=len(keys))
+
+
 def _levels(shard: Shard, known: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
             longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Phrases of 2, 3, ... words: (length, a place of each, its occurrences, its hash).
@@ -165,18 +191,19 @@ def _levels(shard: Shard, known: np.ndarray, keep: Callable[[np.ndarray, np.ndar
     live = known[shard.ids] if len(known) else np.zeros(0, bool)
     reach = shard.linked            # the words from here on are in one piece, as many as the level asks for
     for length in range(2, longest + 1):
-        at = np.flatnonzero(live[:-1] & live[1:] & reach[:-1])
+        at = np.flatnonzero(live[:-1] & live[1:] & reach[:-1]).astype(np.int32)
         if not len(at):
             return
-        keys = ids[at].astype(np.int64) * len(hashes) + ids[at + 1]
-        _, where, number, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        keys = ids[at].astype(np.int64)
+        keys *= len(hashes)
+        keys += ids[at + 1]
+        where, number, times = _numbered(keys)
         places = at[where]
         hashes = mix(hashes[ids[places]] * np.uint64(0x9E3779B97F4A7C15)
                      + first[shard.ids[places + length - 1]] + np.uint64(length))
         kept = keep(places, times, hashes)
         if kept.any():
             yield length, places[kept], times[kept], hashes[kept]
-        del keys
         live, ids = np.zeros(len(ids), bool), np.zeros(len(ids), np.int32)
         live[at] = kept[number]
         ids[at] = number
@@ -313,10 +340,12 @@ def _count_phrases(words: np.ndarray, phrases: np.ndarray, longest: int, limit:
                 numbers = shard.word[shard.ids[places[:, None] + np.arange(length)]]
                 used, inside = np.unique(numbers, return_inverse=True)
                 text = [w.decode() for w in spelled.take(pa.array(used)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(groups[shard.group[shard.ids[places]]], pa.string()),
-                    pa.array([" ".join([text[i] for i in row]) for row in inside.reshape(numbers.shape).tolist()], pa.string()),
-                    pa.array(times.astype(np.int64))], ["group", "word", "n"])
+                inside, of = inside.reshape(numbers.shape), groups[shard.group[shard.ids[places]]]
+                for i in range(0, len(places), _ROWS):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(of[i:i + _ROWS], pa.string()),
+                        pa.array([" ".join([text[j] for j in row]) for row in inside[i:i + _ROWS].tolist()], pa.string()),
+                        pa.array(times[i:i + _ROWS].astype(np.int64))], ["group", "word", "n"])
     return counted
 
 
