@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ CODE_SEED = "demo"
 CODES_AS_OF = "timestamp_ntz '2024-01-01 00:00:00'"
 # arrival cuts of the replayed streams: everything before, then everything after
 ARRIVAL_CUT = "timestamp_ntz '1996-01-01 00:00:00'"
+# longer than the whole of any table's time
+ANY_TIME = timedelta(days=100_000)
 
 
 class Tables:
@@ -474,25 +477,52 @@ def stream_extract_matches(t: Tables) -> DataFrame:
     return usage.stream_extract_matches(_stream(t, "model_outputs"), work_dir(t.spark, "stream"))
 
 
-def _replay(t: Tables, rows: DataFrame, at: str, advance: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Let rows arrive in two slices of time, running the stream after each."""
+def _replay(t: Tables, rows: DataFrame, slices: tuple, advance: Callable[[DataFrame, str, bool], DataFrame]) -> DataFrame:
+    """Let rows arrive in slices, running the stream after each; the last one ends it."""
     folder = work_dir(t.spark, "stream")
-    landing, cut = f"{folder}/landing", F.expr(ARRIVAL_CUT)
-    result = None
-    for arrived in (F.col(at) < cut, F.col(at) >= cut):
+    landing, result = f"{folder}/landing", None
+    for arrived in slices:
         tables.append_table(rows.filter(arrived), landing)
-        result = advance(tables.stream_table(t.spark, landing, rows.schema), folder)
+        result = advance(tables.stream_table(t.spark, landing, rows.schema), folder, arrived is slices[-1])
     return result
 
 
+def _by_time(at: str) -> tuple:
+    return F.col(at) < F.expr(ARRIVAL_CUT), F.col(at) >= F.expr(ARRIVAL_CUT)
+
+
+def _ledger(t: Tables, slices: tuple, delay: timedelta) -> DataFrame:
+    events = quota.quota_events(t.user_activations, t.quota_uses)
+    return _replay(t, events, slices,
+                   lambda stream, folder, last: stateful.stream_quota_ledger(stream, folder, delay, last))
+
+
+def _redeem(t: Tables, slices: tuple, delay: timedelta) -> DataFrame:
+    state, grants = t.activation_codes, t.user_activations
+    return _replay(t, t.redeem_requests, slices,
+                   lambda stream, folder, last: stateful.stream_redeem(stream, state, grants, folder, delay, last))
+
+
 @query
 def stream_quota_ledger(t: Tables) -> DataFrame:
-    events = quota.quota_events(t.user_activations, t.quota_uses)
-    return _replay(t, events, "event_at", stateful.stream_quota_ledger)
+    return _ledger(t, _by_time("event_at"), stateful.AT_ONCE).drop("late")
+
+
+@query
+def stream_quota_ledger_shuffled(t: Tables) -> DataFrame:
+    """Events arrive in no order of time, but within the delay."""
+    odd = F.col("event_id") % 2 == 1
+    return _ledger(t, (odd, ~odd), ANY_TIME)
 
 
 @query
 def stream_redeem(t: Tables) -> DataFrame:
-    state, grants = t.activation_codes, t.user_activations
-    return _replay(t, t.redeem_requests, "requested_at",
-                   lambda stream, folder: stateful.stream_redeem(stream, state, grants, folder))
+    return _redeem(t, _by_time("requested_at"), stateful.AT_ONCE)
+
+
+@query
+def stream_redeem_late(t: Tables) -> DataFrame:
+    """A tenth of the requests arrives after time has passed most of them."""
+    behind = F.col("request_id") % 10 == 7
+    return _redeem(t, (~behind & (F.col("requested_at") < F.expr(ARRIVAL_CUT)), behind | (F.col("requested_at") >= F.expr(ARRIVAL_CUT))),
+                   stateful.AT_ONCE)

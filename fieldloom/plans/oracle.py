@@ -534,3 +534,15 @@ _add("stream_daily_usage", f"""
 _add("stream_extract_matches", f"SELECT {_MATCH_COLUMNS} FROM matches")
 _add("stream_quota_ledger", _LEDGER)
 _add("stream_redeem", _REDEEM_VERDICTS)
+_add("stream_quota_ledger_shuffled", "SELECT *, false AS late FROM (" + _LEDGER + ")")
+# a tenth of the requests arrives once the watermark stands at the last of the others before the cut
+_BEHIND = """request_id % 10 = 7 AND requested_at <= (SELECT max(requested_at) FROM redeem_requests
+      WHERE request_id % 10 <> 7 AND requested_at < TIMESTAMP '1996-01-01 00:00:00')"""
+_SHARED["late_requests"] = f"SELECT * FROM redeem_requests WHERE {_BEHIND}"
+_SHARED["punctual_requests"] = "SELECT * FROM redeem_requests WHERE request_id NOT IN (SELECT request_id FROM late_requests)"
+for _view in ("state", "marked", "counted"):
+    _SHARED[f"punctual_{_view}"] = _SHARED[f"redeem_{_view}"].replace("redeem_", "punctual_")
+_SHARED["punctual_redeemed"] = _SHARED["redeemed"].replace("redeem_", "punctual_")
+_add("stream_redeem_late", """
+    SELECT request_id, user_id, code, requested_at, code_id, verdict FROM punctual_redeemed
+    UNION ALL SELECT request_id, user_id, code, requested_at, NULL, 'late' FROM late_requests""")

@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import matching, stats
-from fieldloom.sources.tables import write_version
 from fieldloom.streaming import runs
+from fieldloom.streaming.state import StreamState
 
 
-def stream_match_stats(logs: DataFrame, folder: str) -> DataFrame:
-    """Running totals per user; each batch writes only the users it changed.
+def _changes(changed: DataFrame, logs: DataFrame, folder: str, key: str) -> DataFrame:
+    """Keep each batch's changed totals in a state log, and return the current ones."""
+    spark, schema = logs.sparkSession, changed.schema
 
-    The current totals are each user's rows of the latest batch.
-    """
-    runs.each_batch(
-        stats.match_totals(logs), folder,
-        lambda changed, batch_id: write_version(changed, f"{folder}/rows/batch={batch_id}"), mode="update")
-    rows = logs.sparkSession.read.parquet(f"{folder}/rows")
-    totals = ("total_uses", "total_fields", "total_successes")
-    latest = rows.groupBy("user_id").agg(*[F.max_by(c, "batch").alias(c) for c in totals])
-    return stats.with_success_rate(latest)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        state = StreamState(spark, folder, batch_id)
+        state.log("totals", [key], schema).put(batch)
+        state.commit()
+
+    runs.each_batch(changed, folder, step, mode="update")
+    return StreamState.latest(spark, folder).log("totals", [key], schema).read()
+
+
+def stream_match_stats(logs: DataFrame, folder: str) -> DataFrame:
+    """Running totals per user; each batch writes only the users it changed."""
+    return stats.with_success_rate(_changes(stats.match_totals(logs), logs, folder, "user_id"))
 
 
 def stream_daily_usage(logs: DataFrame, folder: str) -> DataFrame:
@@ -33,11 +37,7 @@ def stream_daily_usage(logs: DataFrame, folder: str) -> DataFrame:
     daily = logs.groupBy(F.col("used_at").cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("total_uses"), F.sum("fields_count").alias("total_fields"),
         F.sum("success_count").alias("total_successes"))
-    runs.each_batch(
-        daily, folder, lambda changed, batch_id: write_version(changed, f"{folder}/rows/batch={batch_id}"), mode="update")
-    rows = logs.sparkSession.read.parquet(f"{folder}/rows")
-    totals = ("total_uses", "total_fields", "total_successes")
-    return rows.groupBy("day").agg(*[F.max_by(c, "batch").alias(c) for c in totals])
+    return _changes(daily, logs, folder, "day")
 
 
 def stream_extract_matches(outputs: DataFrame, folder: str) -> DataFrame:

@@ -17,6 +17,7 @@ def spark():
     session = local_session(cores=4, shuffle_partitions=4, memory="4g")
     if session.sparkContext.getCheckpointDir() is None:
         session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    session.conf.set("spark.fieldloom.state.buckets", "3")
     yield session
     session.stop()
 
