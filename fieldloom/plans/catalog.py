@@ -376,16 +376,26 @@ def register_users_rows(t: Tables) -> DataFrame:
     return accounts.register_users(t.users, t.registrations).users
 
 
+def _update_users(t: Tables) -> accounts.AccountChanges:
+    return accounts.update_users(derived.view(t.spark, t.sf_dir, "users"), t.user_patches)
+
+
 @query
 def update_users(t: Tables) -> DataFrame:
-    stored = derived.view(t.spark, t.sf_dir, "users")
-    return accounts.update_users(stored, t.user_patches).users.select("user_id", "email", "password_hash")
+    return _update_users(t).users.select("user_id", "email", "password_hash", "updated_at")
 
 
 @query
 def update_users_verdicts(t: Tables) -> DataFrame:
-    stored = derived.view(t.spark, t.sf_dir, "users")
-    return accounts.update_users(stored, t.user_patches).verdicts
+    """Per user: whether any request was refused."""
+    worst = F.when(F.bool_or(F.col("verdict") == "not_found"), "not_found").when(
+        F.bool_or(F.col("verdict") == "email_conflict"), "email_conflict").otherwise("ok")
+    return _update_users(t).verdicts.groupBy("user_id").agg(worst.alias("verdict"))
+
+
+@query
+def update_users_requests(t: Tables) -> DataFrame:
+    return _update_users(t).verdicts.select("request_id", "user_id", "verdict")
 
 
 @query

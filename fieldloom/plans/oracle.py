@@ -153,19 +153,31 @@ _SHARED = {
         SELECT *, row_number() OVER (PARTITION BY email ORDER BY requested_at, request_id) = 1
             AND email NOT IN (SELECT email FROM users) AS accepted FROM registrations""",
     "email_claims": """
-        SELECT p.user_id, p.email, p.requested_at, p.request_id, u.email AS current
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY requested_at DESC, request_id DESC) AS rn
-              FROM user_patches WHERE has_email) p
-        LEFT JOIN stored_users u ON u.user_id = p.user_id WHERE p.rn = 1""",
-    "email_rulings": """
-        SELECT *, email <> current AND (email IN (SELECT email FROM stored_users)
-            OR row_number() OVER (PARTITION BY email, email <> current, current IS NULL
-                                  ORDER BY requested_at, request_id) > 1) AS conflict
-        FROM email_claims""",
-    "digests": """
-        SELECT user_id, password_hash FROM (
-          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY requested_at DESC, request_id DESC) AS rn
-          FROM user_patches WHERE has_password) WHERE rn = 1""",
+        SELECT p.user_id, p.request_id, p.requested_at, p.email, u.email AS initial, h.user_id AS first_holder
+        FROM user_patches p JOIN stored_users u ON u.user_id = p.user_id
+        LEFT JOIN stored_users h ON h.email = p.email WHERE p.has_email""",
+    # each round judges all claims from the last round's outcomes; far more rounds than chains are long
+    "email_rounds": """
+        SELECT 0 AS round, *, CAST(NULL AS VARCHAR) AS own, first_holder IS NULL OR first_holder = user_id AS ok FROM email_claims
+        UNION ALL
+        SELECT round + 1, user_id, request_id, requested_at, email, initial, first_holder, own,
+          coalesce(holder, first_holder, -1) IN (-1, user_id) AS ok
+        FROM (SELECT *, last_value(turn IGNORE NULLS) OVER (PARTITION BY email ORDER BY requested_at, request_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS holder
+              FROM (SELECT round, user_id, request_id, requested_at, event.e AS email, initial, first_holder, own,
+                      event.t AS turn, event.p AS probe
+              FROM (SELECT m.*, unnest(CASE WHEN ok AND m.email <> m.own
+                        THEN [{e: m.email, t: m.user_id, p: true}, {e: m.own, t: -1, p: false}]
+                        ELSE [{e: m.email, t: NULL, p: true}] END) AS event
+                    FROM (SELECT * EXCLUDE (own), coalesce(last_value(CASE WHEN ok THEN email END IGNORE NULLS) OVER (
+                              PARTITION BY user_id ORDER BY requested_at, request_id
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), initial) AS own
+                          FROM email_rounds WHERE round < 40) m)))
+        WHERE probe""",
+    "patch_rulings": """
+        SELECT p.*, r.own, CASE WHEN p.user_id NOT IN (SELECT user_id FROM stored_users) THEN 'not_found'
+            WHEN NOT r.ok THEN 'email_conflict' ELSE 'ok' END AS verdict
+        FROM user_patches p LEFT JOIN (SELECT * FROM email_rounds WHERE round = 40) r ON r.request_id = p.request_id""",
     "set_steps": """
         SELECT resume_id, user_id, request_id, requested_at, pos, key, json_extract_string(patch, key) AS value
         FROM (SELECT *, unnest(json_keys(patch)) AS key, unnest(range(len(json_keys(patch)))) AS pos FROM field_edits)""",
@@ -212,7 +224,7 @@ def _needed(body: str) -> list[str]:
 
 def _add(name: str, body: str) -> None:
     tables = ",\n".join(f"{table} AS ({_SHARED[table]})" for table in _needed(body))
-    ORACLE[name] = f"WITH {tables}\n{body}"
+    ORACLE[name] = f"WITH RECURSIVE {tables}\n{body}" if "email_rounds" in tables else f"WITH {tables}\n{body}"
 
 
 # --- scans and sinks
@@ -466,16 +478,21 @@ _add("register_users", """
 _add("register_users_rows", """
     SELECT request_id AS user_id, email, password_hash, 'active' AS status, requested_at AS created_at,
       requested_at AS updated_at FROM first_registrations WHERE accepted""")
+_add("update_users_requests", "SELECT request_id, user_id, verdict FROM patch_rulings")
 _add("update_users", """
-    SELECT u.user_id, CASE WHEN NOT e.conflict THEN e.email ELSE u.email END AS email,
-      coalesce(d.password_hash, u.password_hash) AS password_hash
-    FROM stored_users u LEFT JOIN email_rulings e ON e.user_id = u.user_id
-    LEFT JOIN digests d ON d.user_id = u.user_id""")
+    SELECT u.user_id, coalesce(e.email, u.email) AS email, coalesce(d.password_hash, u.password_hash) AS password_hash,
+      coalesce(c.at, u.updated_at) AS updated_at
+    FROM stored_users u
+    LEFT JOIN (SELECT user_id, arg_max(email, (requested_at, request_id)) AS email FROM patch_rulings
+               WHERE verdict = 'ok' AND has_email GROUP BY user_id) e ON e.user_id = u.user_id
+    LEFT JOIN (SELECT user_id, arg_max(password_hash, (requested_at, request_id)) AS password_hash FROM patch_rulings
+               WHERE verdict = 'ok' AND has_password GROUP BY user_id) d ON d.user_id = u.user_id
+    LEFT JOIN (SELECT user_id, max(requested_at) AS at FROM patch_rulings
+               WHERE verdict = 'ok' AND (has_password OR (has_email AND email <> own)) GROUP BY user_id) c ON c.user_id = u.user_id""")
 _add("update_users_verdicts", """
-    SELECT p.user_id, CASE WHEN u.user_id IS NULL THEN 'not_found' WHEN e.conflict THEN 'email_conflict'
-        ELSE 'ok' END AS verdict
-    FROM (SELECT DISTINCT user_id FROM user_patches) p LEFT JOIN stored_users u ON u.user_id = p.user_id
-    LEFT JOIN email_rulings e ON e.user_id = p.user_id""")
+    SELECT user_id, CASE WHEN bool_or(verdict = 'not_found') THEN 'not_found'
+        WHEN bool_or(verdict = 'email_conflict') THEN 'email_conflict' ELSE 'ok' END AS verdict
+    FROM patch_rulings GROUP BY user_id""")
 _add("deactivate_users", """
     SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM deactivations) THEN 'inactive' ELSE status END AS status
     FROM users""")

@@ -1,6 +1,7 @@
 """Registration, patches and declared limits."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,21 +36,62 @@ def test_registration_of_a_hot_email(spark, users, tiny_limits):
     check_registration(spark, users)
 
 
+PATCHES = ("request_id long, user_id long, has_email boolean, email string, has_password boolean, "
+           "password_hash string, requested_at timestamp_ntz")
+
+
+def one_by_one(users, patches):
+    """The requests in order of time, each judged on what the ones before have left."""
+    state = {u[0]: [u[1], u[2], u[5]] for u in users}
+    verdicts = {}
+    for rid, user, has_email, email, has_password, digest, at in sorted(patches, key=lambda p: (p[6], p[0])):
+        if user not in state:
+            verdicts[rid] = "not_found"
+            continue
+        mine, claims = state[user], has_email and email is not None
+        if claims and any(row[0] == email for other, row in state.items() if other != user):
+            verdicts[rid] = "email_conflict"
+            continue
+        verdicts[rid] = "ok"
+        fresh = [email if claims else mine[0], digest if has_password and digest is not None else mine[1]]
+        if fresh != mine[:2]:
+            state[user] = [*fresh, at]
+    return verdicts, {u: tuple(row) for u, row in state.items()}
+
+
+def check_patches(spark, users, patches):
+    result = accounts.update_users(users, spark.createDataFrame(patches, PATCHES))
+    verdicts, state = one_by_one([tuple(u) for u in users.collect()], patches)
+    assert {r.request_id: r.verdict for r in result.verdicts.collect()} == verdicts
+    assert {r.user_id: (r.email, r.password_hash, r.updated_at) for r in result.users.collect()} == state
+    return verdicts
+
+
 def test_patches(spark, users):
-    patches = spark.createDataFrame([
-        (1, 0, True, "a@x", False, None, AT[1]), (2, 0, False, None, True, "q", AT[2]),
-        (3, 0, True, "b@x", False, None, AT[3]),      # the latest email wins
-        (4, 1, True, "u2@x", True, "r", AT[1]),       # taken, the digest still changes
-        (5, 2, True, "b@x", False, None, AT[4]),      # asked for earlier by user 0
-        (6, 3, True, "u3@x", False, None, AT[1]),     # own email
+    verdicts = check_patches(spark, users, [
+        (1, 0, True, "a@x", False, None, AT[1]), (2, 0, False, None, True, "q", AT[2]), (3, 0, True, "b@x", False, None, AT[3]),
+        (4, 1, True, "u2@x", True, "r", AT[1]),       # taken: the digest does not change either
+        (5, 2, True, "b@x", False, None, AT[4]),      # user 0 has it
+        (6, 3, True, "u3@x", False, None, AT[1]),     # own email: nothing changes, no stamp
         (7, 9, True, "z@x", False, None, AT[1]),
-    ], "request_id long, user_id long, has_email boolean, email string, has_password boolean, "
-       "password_hash string, requested_at timestamp_ntz")
-    result = accounts.update_users(users, patches)
-    got = {r.user_id: (r.email, r.password_hash, r.updated_at) for r in result.users.collect()}
-    assert got == {0: ("b@x", "q", AT[3]), 1: ("u1@x", "r", AT[1]), 2: ("u2@x", "p2", AT[4]), 3: ("u3@x", "p3", AT[1])}
-    assert {r.user_id: r.verdict for r in result.verdicts.collect()} == {
-        0: "ok", 1: "email_conflict", 2: "email_conflict", 3: "ok", 9: "not_found"}
+        (8, 1, True, "u0@x", False, None, AT[5]),     # given up by user 0
+        (9, 2, True, "a@x", True, "p2", AT[5]), (10, 3, False, None, False, None, AT[6]), (11, 3, True, None, True, None, AT[6])])
+    assert verdicts[4] == verdicts[5] == "email_conflict" and verdicts[8] == verdicts[9] == "ok"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_chains_of_claims(spark, users, seed):
+    """Few emails, many claims: each outcome hangs on others long before."""
+    rng = random.Random(seed)
+    check_patches(spark, users, [
+        (i, rng.randrange(5), rng.random() < 0.8, f"u{rng.randrange(6)}@x", rng.random() < 0.4, rng.choice(["p1", "n", None]),
+         AT[rng.randrange(8)]) for i in range(26)])
+
+
+def test_chains_of_claims_of_a_hot_user(spark, users, tiny_limits):
+    rng = random.Random(9)
+    check_patches(spark, users, [
+        (i, 0 if i % 3 else rng.randrange(4), True, f"u{rng.randrange(5)}@x", i % 2 == 0, f"d{i % 4}", AT[i % 8]) for i in range(18)])
 
 
 def test_lookup_of_a_repeated_key(spark):
