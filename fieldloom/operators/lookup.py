@@ -108,9 +108,9 @@ def new_rows(candidates: DataFrame, existing: DataFrame, key: str, candidate_id:
 
 def requests_with_resume(requests: DataFrame, resumes: DataFrame, text: Column, hot=PROBE) -> DataFrame:
     """Match requests with their resume's text, and why there is none."""
-    texts = resumes.select("resume_id", "user_id", text.alias("resume_text"))
-    return owned_resumes(requests, texts, ["resume_text"], hot).withColumn(
+    # judged on the resume's side, so that the text moves only for those who read it
+    texts = resumes.select("resume_id", "user_id", text.alias("resume_text"), is_blank(text).alias("_empty"))
+    return owned_resumes(requests, texts, ["resume_text", "_empty"], hot).withColumn(
         "resume_verdict",
-        F.when(~F.col("found"), "resume_not_found")
-        .when(is_blank(F.col("resume_text")), "resume_empty").otherwise("ok"),
-    ).drop("found")
+        F.when(~F.col("found"), "resume_not_found").when(F.col("_empty"), "resume_empty").otherwise("ok"),
+    ).drop("found", "_empty")

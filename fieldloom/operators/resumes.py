@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom import dimensions, schemas
 from fieldloom.functions import documents as docs
 from fieldloom.operators.lookup import owned_resumes
-from fieldloom.operators.skew import Running, Timeline, shared, skew_join
+from fieldloom.operators.skew import PROBE, Running, SkewPolicy, Timeline, shared
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,9 @@ def resume_page(resumes: DataFrame, skip: int = 0, limit: int = schemas.DEFAULT_
     items = resumes.select(*shown, docs.field_count(F.col("fields")).alias("field_count"),
                            *[c for c in [newest_by] if c not in shown])
     newest = [F.desc_nulls_last(newest_by), F.col("resume_id")]
-    ranked = Timeline(items, ["user_id"], newest).numbered("position").rows()
+    # map tasks forward a page of each user only, so a user's many resumes need no blocks unless the page is huge
+    few = skip + limit <= SkewPolicy.of(resumes.sparkSession).pieceRows
+    ranked = Timeline(items, ["user_id"], newest, None if few else PROBE).numbered("position").rows()
     page = ranked.filter((F.col("position") <= skip + limit) & (F.col("position") > skip))
     return page.withColumn("position", F.col("position").cast("int"))
 
@@ -160,11 +162,11 @@ def delete_resumes(resumes: DataFrame, requests: DataFrame) -> Changes:
 def edit_fields(resumes: DataFrame, edits: DataFrame) -> Changes:
     """Apply merges (``patch``) and single-key deletes (``field_key``) in time order.
 
-    An edit has one of the two set. Edits are reduced per (resume, key) first:
-    the last set value, where the key was first set again after its last
-    delete, and whether it was deleted at all. Only then is one patch per
-    resume put together, whose size is the number of distinct keys. Keys keep
-    the place a sequence of single edits would give them.
+    An edit has one of the two set. One window per (resume, key) tells each
+    step whether the key was set before it; that reduces to the last value, the
+    place where the key was last set anew, and the last change. Only then is
+    one patch per resume put together, whose size is the number of distinct
+    keys. Keys keep the place a sequence of single edits would give them.
     """
     resume = ["resume_id", "user_id"]
     is_merge = F.col("patch").isNotNull()
@@ -178,45 +180,37 @@ def edit_fields(resumes: DataFrame, edits: DataFrame) -> Changes:
             F.array(F.struct(F.col("field_key").alias("key"), F.lit(None).cast("string").alias("value")))
             .cast(f"array<{entry}>"))).alias("pos", "entry"),
         is_merge.alias("is_set"),
-    ).select(*resume, "request_id", F.col("entry.key").alias("key"), F.col("entry.value").alias("value"),
-             "is_set", F.struct("requested_at", "request_id", "pos").alias("step"))
-    per_key = [*resume, "key"]
+    ).select(*resume, "requested_at", "request_id", "pos", F.col("entry.key").alias("key"),
+             F.col("entry.value").alias("value"), "is_set")
+    per_key, order = [*resume, "key"], ["requested_at", "request_id", "pos"]
+    ordered = (Timeline(steps, per_key, order)
+               .running(Running("_before", F.max, F.struct(*order, "is_set"), inclusive=False)).rows())
+    is_set, follows_set, at = F.col("is_set"), F.coalesce("_before.is_set", F.lit(False)), F.col("requested_at")
     held = resumes.select(*resume, F.explode(F.map_keys("fields")).alias("key"), F.lit(True).alias("_held"))
-    last = F.max(F.struct("step", "is_set", "value")).alias("_last")
-    reduced = steps.groupBy(*per_key).agg(
-        last, F.max(F.when(~F.col("is_set"), F.col("step"))).alias("_deleted"),
-        F.min(F.when(F.col("is_set"), F.col("step"))).alias("_first"),
+    reduced = ordered.groupBy(*per_key).agg(
+        F.max(F.struct(*order, "is_set", "value")).alias("_last"),
+        # a key stands where it was set and not there before
+        F.max(F.when(is_set & ~follows_set, F.struct(*order))).alias("place"),
+        F.bool_or(~is_set).alias("_deleted"),
+        F.max(F.when(is_set | follows_set, at)).alias("_changed_at"),
+        # a first step that deletes counts when the document holds the key
+        F.max(F.when(~is_set & F.col("_before").isNull(), at)).alias("_first_at"),
     ).join(held, per_key, "left")
-    # only keys deleted and set again later have a place that this pass cannot tell
-    returned = reduced.filter(F.col("_deleted").isNotNull() & F.col("_last.is_set")).select(*per_key, "_deleted")
-    again = (skew_join(steps.filter("is_set"), returned, per_key, "inner", ["request_id"])
-             .filter(F.col("step") > F.col("_deleted")).groupBy(*per_key).agg(F.min("step").alias("_again")))
-    place = F.coalesce("_again", "_first").alias("place")
-    patches = reduced.join(again, per_key, "left").groupBy(*resume).agg(
-        F.collect_list(F.when(F.col("_last.is_set"), F.struct(place, "key", F.col("_last.value").alias("value"))))
+    patches = reduced.groupBy(*resume).agg(
+        F.collect_list(F.when(F.col("_last.is_set"), F.struct("place", "key", F.col("_last.value").alias("value"))))
         .alias("_sets"),
         # keys the document holds: its size bounds the list
-        F.collect_list(F.when(F.col("_deleted").isNotNull() & F.col("_held"), F.col("key"))).alias("_dropped"),
+        F.collect_list(F.when(F.col("_deleted") & F.col("_held"), F.col("key"))).alias("_dropped"),
+        F.max(F.greatest("_changed_at", F.when(F.col("_held"), F.col("_first_at")))).alias("_at"),
     )
-    merged_at = edits.groupBy(*resume).agg(
-        F.max(F.when(is_merge & (F.size("patch") > 0), F.col("requested_at"))).alias("_merged_at"))
-    # a delete counts when the key was there: set by the step before it, or held at the start
-    ordered = (Timeline(steps.withColumns({"at": F.col("step.requested_at"), "rq": F.col("step.request_id"), "ps": F.col("step.pos")}),
-                        per_key, ["at", "rq", "ps"])
-               .running(Running("_before", F.max, F.struct("step", "is_set"), inclusive=False)).rows())
-    removed = (ordered.filter(~F.col("is_set")).join(held, per_key, "left")
-               .filter(F.coalesce(F.col("_before.is_set"), F.col("_held"), F.lit(False)))
-               .groupBy(*resume).agg(F.max("at").alias("_deleted_at")))
-    latest = merged_at.join(removed, resume, "left")
     patch = F.map_from_entries(F.transform(
         F.array_sort("_sets"), lambda s: F.struct(s["key"], s["value"])))
     fields = docs.merged(docs.without_any(F.col("fields"), F.col("_dropped")), patch)
     # a delete of an absent key leaves the document, and with it the stamp, alone
-    at = F.greatest("_merged_at", "_deleted_at")
     state = (
-        resumes.join(patches, resume, "left").join(latest, resume, "left")
+        resumes.join(patches, resume, "left")
         .withColumn("_next", F.when(F.col("_sets").isNull(), F.col("fields")).otherwise(fields))
-        .withColumns({"fields": F.col("_next"), **touched(resumes, at)})
+        .withColumns({"fields": F.col("_next"), **touched(resumes, F.col("_at"))})
         .select(*resumes.columns)
     )
     return Changes(state, verdicts)

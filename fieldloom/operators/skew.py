@@ -84,6 +84,11 @@ def _marked(df: DataFrame, hot: DataFrame, n_rows: int, keys: Sequence[str], how
     return joined.drop(*["_hot_" + k for k in keys])
 
 
+def _splits_itself(spark: SparkSession) -> bool:
+    adaptive = all(spark.conf.get(f"spark.sql.adaptive.{name}", "true") == "true" for name in ("enabled", "skewJoin.enabled"))
+    return adaptive and spark.conf.get("spark.fieldloom.skew.groupRows", None) is None
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
               spread_by: Sequence[str], hot=PROBE) -> DataFrame:
     """``left.join(right, keys, how)`` where left may hold hot keys.
@@ -91,13 +96,15 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
     Rows of a hot key are spread over several tasks by a hash of spread_by, and
     the matching right rows are repeated once per salt. Left drives the result,
     so ``how`` is inner, left, left_semi or left_anti. Pass ``hot`` when the
-    hot keys are known from a cheaper table, to save counting left.
+    hot keys are known from a cheaper table. Adaptive execution splits the left
+    side of such joins by itself, so nothing is counted in front of them where
+    it is on, unless the session sets a limit of its own.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} is not driven by the left side")
     keys = list(keys)
     if hot is PROBE:
-        hot = hot_keys(left, keys)
+        hot = None if _splits_itself(left.sparkSession) else hot_keys(left, keys)
     if hot is None:
         joined = left.join(right, keys, how)
     else:

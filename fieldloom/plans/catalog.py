@@ -318,6 +318,26 @@ def _edited_entries(t: Tables, **columns: F.Column) -> DataFrame:
     return resumes.entries(state)
 
 
+def _mixed_edits(t: Tables) -> resumes.Changes:
+    """Every third request deletes a key, the others merge; stamps start empty."""
+    deletes = F.col("request_id") % 3 == 1
+    edits = t.field_edits.withColumns({
+        "patch": F.when(~deletes, docs.parse_document(F.col("patch"))), "field_key": F.when(deletes, F.col("field_key"))})
+    return resumes.edit_fields(t.resumes.withColumn("updated_at", F.lit(None).cast("timestamp_ntz")), edits)
+
+
+@query
+def edit_fields_mixed(t: Tables) -> DataFrame:
+    """The documents after merges and deletes in turn, as text, with the time of the last change."""
+    return _mixed_edits(t).resumes.select(
+        "resume_id", docs.resume_text(F.col("fields")).alias("resume_text"), "updated_at")
+
+
+@query
+def edit_fields_mixed_verdicts(t: Tables) -> DataFrame:
+    return _mixed_edits(t).verdicts.select("request_id", "verdict")
+
+
 @query
 def merge_fields_verdicts(t: Tables) -> DataFrame:
     edits = t.field_edits.withColumns({

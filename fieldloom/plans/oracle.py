@@ -563,3 +563,26 @@ _SHARED["punctual_redeemed"] = _SHARED["redeemed"].replace("redeem_", "punctual_
 _add("stream_redeem_late", """
     SELECT request_id, user_id, code, requested_at, code_id, verdict FROM punctual_redeemed
     UNION ALL SELECT request_id, user_id, code, requested_at, NULL, 'late' FROM late_requests""")
+
+# --- merges and deletes in turn: the document's own entries are the first steps
+_SHARED["mixed_steps"] = """
+        SELECT resume_id, user_id, TIMESTAMP '0001-01-01 00:00:00' AS ts, -1 AS request_id, pos, key, value, true AS sets, true AS own FROM entries
+        UNION ALL SELECT resume_id, user_id, requested_at, request_id, pos, key, value, true, false FROM set_steps WHERE request_id % 3 <> 1
+        UNION ALL SELECT resume_id, user_id, requested_at, request_id, 0, field_key, NULL, false, false FROM field_edits WHERE request_id % 3 = 1"""
+_SHARED["mixed_marked"] = """
+        SELECT *, coalesce(lag(sets) OVER w, false) AS there FROM mixed_steps
+        WINDOW w AS (PARTITION BY resume_id, user_id, key ORDER BY ts, request_id, pos)"""
+_SHARED["mixed_keys"] = """
+        SELECT resume_id, user_id, key, arg_max(sets, (ts, request_id, pos)) AS present,
+          arg_max(coalesce(value, ''), (ts, request_id, pos)) AS value,
+          max((ts, request_id, pos)) FILTER (WHERE sets AND NOT there) AS place,
+          max(ts) FILTER (WHERE NOT own AND (sets OR there)) AS changed
+        FROM mixed_marked GROUP BY resume_id, user_id, key"""
+_add("edit_fields_mixed", """
+    SELECT r.resume_id, coalesce(string_agg(m.key || ': ' || m.value, chr(10) ORDER BY m.place)
+        FILTER (WHERE m.present AND trim(m.value) <> ''), '') AS resume_text, max(m.changed) AS updated_at
+    FROM resumes r LEFT JOIN mixed_keys m ON m.resume_id = r.resume_id AND m.user_id = r.user_id GROUP BY r.resume_id""")
+_add("edit_fields_mixed_verdicts", """
+    SELECT d.request_id, CASE WHEN d.request_id % 3 <> 1 AND d.patch = '{}' THEN 'empty_patch'
+        WHEN r.resume_id IS NULL THEN 'not_found' ELSE 'ok' END AS verdict
+    FROM field_edits d LEFT JOIN resumes r ON r.resume_id = d.resume_id AND r.user_id = d.user_id""")
