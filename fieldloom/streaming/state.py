@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from fieldloom.sources.tables import write_version
 
 FAN = 8
-BUCKETS = 32            # folders of a run; spark.fieldloom.state.buckets, fixed for the life of a stream
+BUCKETS = 16            # folders of a run; spark.fieldloom.state.buckets, fixed for the life of a stream
 SEED = "seed"
 
 
@@ -100,8 +100,10 @@ class StateLog:
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """The current rows of the keys of ``wanted``; only their buckets are read."""
+        if not self.runs:
+            return self._latest(self._stored([]))
         keys = wanted.select(*self.keys).distinct()
-        touched = [r[0] for r in keys.select(self._bucket()).distinct().collect()]      # one number per bucket at most
+        touched = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]      # one number per bucket at most
         rows = self._stored([run for _, run in self.runs]).filter(F.col("_bucket").isin(touched))
         named = keys.select(*[F.col(k).alias(f"_wanted_{k}") for k in self.keys])
         match = [F.col(k).eqNullSafe(F.col(f"_wanted_{k}")) for k in self.keys]
@@ -187,6 +189,8 @@ class StreamState:
             self.watermark = max(self.watermark or reached, reached, key=datetime.fromisoformat)
         if self.watermark is None:
             return waiting.limit(0), late
+        if not delay and self.held is None:
+            return waiting, late        # nothing is later than the latest
         due = time <= F.lit(datetime.fromisoformat(self.watermark)).cast("timestamp_ntz")
         write_version(waiting.filter(~due), f"{self.folder}/held/{self.batch_id}")
         self.held = self.batch_id

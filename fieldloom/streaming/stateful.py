@@ -41,7 +41,9 @@ def _advance(stream: DataFrame, folder: str, step: Callable[[DataFrame, StreamSt
 
     runs.each_batch(stream, folder, run)
     if final:
-        run(spark.createDataFrame([], stream.schema), StreamState.latest(spark, folder, ended=False).batch_id, True)
+        state = StreamState.latest(spark, folder, ended=False)
+        if state.held is not None:
+            run(spark.createDataFrame([], stream.schema), state.batch_id, True)
 
 
 def _balances(state: StreamState) -> StateLog:
