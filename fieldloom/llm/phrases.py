@@ -8,13 +8,19 @@ Three passes over the texts, none of which keeps a corpus-wide table in a task:
 2. SON: every shard is mined completely, level by level, at a support lowered
    in proportion to its share of the group's words. A phrase that is frequent
    in all is frequent in one shard at least, so the union of the locally
-   frequent phrases holds all that are sought.
-3. Counts: every shard counts the phrases of that union, and the sums are exact.
-
-The union is handed to pass 3 as a set of hashed bits of fixed size (2^BITS).
-Two phrases may share a bit: then one is counted in vain, never is one missed,
-and the sums decide. Counting inside a shard uses numbers given to the words,
-and phrases are summed by their text, so no count depends on a hash.
+   frequent phrases holds all that are sought. It also tells more: where a
+   phrase is not locally frequent it occurs at most t - 1 times, t being the
+   shard's support, so a phrase with f occurrences in all exceeds t - 1 by at
+   least f less the sum of all t - 1, added up over the shards where it is
+   locally frequent. Phrases of the union below that are out.
+3. Counts: every shard counts the rest of the union, and the sums are exact.
+
+The union is handed to pass 3 as a table of sums by hashed slot, of fixed size
+(2^BITS bytes, no sum above 255; the support less what is uncounted must stay
+below that). Two phrases may share a slot: then one is counted in vain, never is
+one missed, and the sums of pass 3 decide. Counting inside a shard uses numbers
+given to the words, and phrases are summed by their text, so no count depends
+on a hash.
 
 Then every phrase is cut in all places, scored by its lowest-scoring cut in
 exact decimal arithmetic, and dropped if a longer candidate holds all its
@@ -42,12 +48,12 @@ from fieldloom.llm.arrays import LOWER, encoded, mix, piece_hashes
 from fieldloom.llm.common import prepare, stored
 
 SHARD = 32 << 20        # bytes of text mined at once
-BITS = 27               # 2^27 bits are 16 MB
+BITS = 24               # 2^24 sums of one byte are 16 MB
 LONGEST = 5
 SUPPORT = 100
 TOP = 2000
 THRESHOLDS = 4096       # groups whose lowered support is sent to the tasks; the others are mined at 1
-_BLOCK_BITS = 17
+_BLOCK_BITS = 14
 _ROWS = 1 << 15
 _EXACT = "decimal(38,0)"
 
@@ -210,73 +216,73 @@ def _levels(shard: Shard, known: np.ndarray, keep: Callable[[np.ndarray, np.ndar
         reach = reach & np.append(shard.linked[length - 1:], np.zeros(length - 1, bool))[:len(reach)]
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
+def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = _bits(hashes)
-    return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
-
-
-class _Union:
-    """A set of bits in blocks, of which only those that are not empty take memory (16 KB each)."""
+class _Tally:
+    """Sums per slot, none above 255, in blocks of which only those that are not empty take memory (16 KB each)."""
 
     def __init__(self):
         self.blocks: dict[int, np.ndarray] = {}
 
-    def add(self, bits: np.ndarray) -> None:
-        bits = np.unique(bits)
-        block = bits >> _BLOCK_BITS
-        for b, inside in zip(*_runs(block, bits & ((1 << _BLOCK_BITS) - 1)), strict=True):
-            flags = self._block(b)
-            np.bitwise_or.at(flags, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+    def add(self, slots: np.ndarray, values: np.ndarray) -> None:
+        slots, which = np.unique(slots, return_inverse=True)
+        sums = np.bincount(which, np.minimum(values, 255), len(slots)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(slots >> _BLOCK_BITS, prepend=-1)) if len(slots) else np.zeros(0, np.int64)
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(slots)], strict=False):
+            self._add(int(slots[i] >> _BLOCK_BITS), slots[i:j] & ((1 << _BLOCK_BITS) - 1), sums[i:j])
+
+    def _add(self, block: int, inside: np.ndarray, sums: np.ndarray) -> None:
+        counts = self.blocks.setdefault(block, np.zeros(1 << _BLOCK_BITS, np.uint8))
+        counts[inside] = np.minimum(counts[inside] + sums, 255)
 
     def merge(self, block: int, packed: bytes) -> None:
-        flags = self._block(block)
-        if len(packed) == len(flags):
-            flags |= np.frombuffer(packed, np.uint8)
+        if len(packed) == 1 << _BLOCK_BITS:
+            self._add(block, np.arange(1 << _BLOCK_BITS), np.frombuffer(packed, np.uint8).astype(np.int64))
         else:
-            inside = np.frombuffer(packed, np.uint32)
-            np.bitwise_or.at(flags, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+            pairs = np.frombuffer(packed, np.uint32).astype(np.int64)
+            self._add(block, pairs >> 8, pairs & 255)
 
-    def _block(self, b: int) -> np.ndarray:
-        return self.blocks.setdefault(b, np.zeros(1 << (_BLOCK_BITS - 3), np.uint8))
-
-    def rows(self) -> pa.RecordBatch:
-        """(block, packed): the places of a block's bits, or all of its bits where that is shorter."""
+    def rows(self) -> tuple[list[int], list[bytes]]:
+        """Blocks, and for each its (slot, sum) pairs, or all of its sums where that is shorter."""
         packed = []
-        for flags in self.blocks.values():
-            inside = np.flatnonzero(np.unpackbits(flags, bitorder="little")).astype(np.uint32)
-            packed.append((inside if inside.nbytes < len(flags) else flags).tobytes())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(self.blocks), pa.int64()), pa.array(packed, pa.binary())], ["block", "packed"])
+        for counts in self.blocks.values():
+            inside = np.flatnonzero(counts)
+            pairs = (inside << 8 | counts[inside]).astype(np.uint32)
+            packed.append((pairs if pairs.nbytes < len(counts) else counts).tobytes())
+        return list(self.blocks), packed
 
 
-def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """The distinct keys of sorted ones, and the values of each."""
-    cut = np.flatnonzero(np.diff(keys, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
-    return keys[cut].tolist(), np.split(values, cut[1:]) if len(cut) else []
+_TALLY_ROWS = "block long, packed binary, group string, lowered long"
 
 
-_BIT_ROWS = "block long, packed binary"
+def _tally_batch(tally: _Tally, lowered: dict[str, int] | None = None) -> pa.RecordBatch:
+    """A task's sums, and what the lowered supports of its shards leave uncounted."""
+    (blocks, packed), lowered = tally.rows(), lowered or {}
+    return pa.RecordBatch.from_arrays([
+        pa.array([*blocks, *[None] * len(lowered)], pa.int64()), pa.array([*packed, *[None] * len(lowered)], pa.binary()),
+        pa.array([*[None] * len(blocks), *lowered], pa.string()),
+        pa.array([*[None] * len(blocks), *lowered.values()], pa.int64())], ["block", "packed", "group", "lowered"])
 
 
-def _bitmap(rows: DataFrame) -> np.ndarray:
-    """The union of (block, packed) rows; executors put blocks together, the driver gets 2^BITS bits at most."""
+def _table(rows: DataFrame) -> np.ndarray:
+    """The sums of (block, packed) rows; executors add up blocks, the driver gets 2^BITS bytes at most."""
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        union = _Union()
+        tally = _Tally()
         for batch in batches:
             for block, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                union.merge(block, packed)
-        yield union.rows()
-
-    whole = _Union()
-    for row in rows.repartition("block").mapInArrow(merged, _BIT_ROWS).toLocalIterator():
+                tally.merge(block, packed)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(tally.rows(), (pa.int64(), pa.binary()), strict=True)],
+                                         ["block", "packed"])
+
+    out = np.zeros(1 << BITS, np.uint8)
+    whole = _Tally()
+    summed = rows.filter("block is not null").select("block", "packed").repartition("block")
+    for row in summed.mapInArrow(merged, "block long, packed binary").toLocalIterator():
         whole.merge(row["block"], row["packed"])
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for block, flags in whole.blocks.items():
-        out[block * len(flags):(block + 1) * len(flags)] = flags
+    for block, counts in whole.blocks.items():
+        out[block << _BLOCK_BITS:(block + 1) << _BLOCK_BITS] = counts
     return out
 
 
@@ -294,9 +300,9 @@ def _count_words(limit: int):
     return counted
 
 
-def _word_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of (group, word) rows."""
-    union = _Union()
+def _word_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of (group, word) rows."""
+    tally = _Tally()
     for batch in batches:
         raw = [w.encode() for w in batch.column(1).to_pylist()]
         ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
@@ -306,37 +312,43 @@ def _word_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sorted(set(groups))
         number = {g: i for i, g in enumerate(names)}
         if raw:
-            union.add(_bits(mix(own + _group_hashes(names)[[number[g] for g in groups]])))
-    yield union.rows()
+            slots = _slots(mix(own + _group_hashes(names)[[number[g] for g in groups]]))
+            tally.add(slots, np.ones(len(slots)))
+    yield _tally_batch(tally)
 
 
 def _mine(words: np.ndarray, totals: dict[str, int], support: int, longest: int, limit: int):
-    """Pass 2: the bits of the phrases that are frequent in a shard."""
+    """Pass 2: how far the phrases frequent in a shard exceed what a phrase that is not may have there."""
     def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        union = _Union()
+        tally, uncounted = _Tally(), {}
         for shard in _shards(batches, limit):
             mine = np.bincount(shard.group, shard.times, len(shard.groups)).astype(np.int64)
             lowered = np.array([max(1, -(-support * int(w) // totals[g])) if totals.get(g) else 1
                                 for g, w in zip(shard.groups, mine, strict=True)], np.int64)
+            for g, n in zip(shard.groups, lowered.tolist(), strict=True):
+                if n > 1:
+                    uncounted[g] = uncounted.get(g, 0) + n - 1
 
             def keep(places, times, hashes, shard=shard, lowered=lowered):
                 return times >= lowered[shard.group[shard.ids[places]]]
 
-            for _, _, _, hashes in _levels(shard, _set(words, shard.hashes()), keep, longest):
-                union.add(_bits(hashes))
-        yield union.rows()
+            for _, places, times, hashes in _levels(shard, words[_slots(shard.hashes())] > 0, keep, longest):
+                tally.add(_slots(hashes), times - lowered[shard.group[shard.ids[places]]] + 1)
+        yield _tally_batch(tally, uncounted)
     return mined
 
 
-def _count_phrases(words: np.ndarray, phrases: np.ndarray, longest: int, limit: int):
-    """Pass 3: (group, phrase, count) of every shard for the phrases whose bit is set."""
+def _count_phrases(words: np.ndarray, phrases: np.ndarray, needed: dict[str, int], support: int, longest: int, limit: int):
+    """Pass 3: (group, phrase, count) of every shard for the phrases whose sum in pass 2 leaves them a chance."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, limit):
-            def keep(places, times, hashes):
-                return _set(phrases, hashes)
+            least = np.array([min(255, needed.get(g, support)) for g in shard.groups], np.int64)
+
+            def keep(places, times, hashes, shard=shard, least=least):
+                return phrases[_slots(hashes)] >= least[shard.group[shard.ids[places]]]
 
             spelled, groups = shard.words, np.array(shard.groups, object)
-            for length, places, times, _ in _levels(shard, _set(words, shard.hashes()), keep, longest):
+            for length, places, times, _ in _levels(shard, words[_slots(shard.hashes())] > 0, keep, longest):
                 numbers = shard.word[shard.ids[places[:, None] + np.arange(length)]]
                 used, inside = np.unique(numbers, return_inverse=True)
                 text = [w.decode() for w in spelled.take(pa.array(used)).to_pylist()]
@@ -362,15 +374,19 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "
     words = one.filter("word is not null")
     # a bounded table: groups beyond it are mined at the lowest support
     largest = {r["group"]: r["n"] for r in totals.orderBy(F.desc("n"), "group").limit(THRESHOLDS).collect()}
-    known = spark.sparkContext.broadcast(_bitmap(words.select("group", "word").mapInArrow(_word_bits, _BIT_ROWS)))
+    known = spark.sparkContext.broadcast(_table(words.select("group", "word").mapInArrow(_word_slots, _TALLY_ROWS)))
 
     def local(batches):
         return _mine(known.value, largest, support, longest, shard)(batches)
 
-    union = spark.sparkContext.broadcast(_bitmap(texts.mapInArrow(local, _BIT_ROWS)))
+    mined = stored(texts.mapInArrow(local, _TALLY_ROWS), "phrase-tallies")
+    # only groups whose support was lowered to more than 1, so THRESHOLDS rows at most
+    uncounted = mined.filter("group is not null").groupBy("group").agg(F.sum("lowered").alias("n")).collect()
+    needed = {r["group"]: support - r["n"] for r in uncounted}
+    sums = spark.sparkContext.broadcast(_table(mined))
 
     def exact(batches):
-        return _count_phrases(known.value, union.value, longest, shard)(batches)
+        return _count_phrases(known.value, sums.value, needed, support, longest, shard)(batches)
 
     more = stored(texts.mapInArrow(exact, schema).groupBy("group", "word").agg(F.sum("n").alias("n"))
                   .filter(F.col("n") >= support), "phrases")
