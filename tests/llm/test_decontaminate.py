@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 from llm_helpers import DOC_SCHEMA, documents, frame
@@ -11,21 +12,19 @@ ITEMS = [(1, " ".join(f"q{i}" for i in range(40))), (2, "Short one, only six wor
 
 
 def tokens(text):
-    return [t for t in re.split(r"[^\w]+|_+", (text or "").lower()) if t]
+    spaced = re.sub(r"([\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff])", r" \1 ", (text or "").lower())
+    return [t for t in re.split(r"[^\w]+|_+", spaced) if t]
 
 
 def verdict(text, item):
-    """Whether any alignment has a seed and a stretch with enough equal tokens."""
+    """Whether any alignment has a stretch with enough equal tokens."""
     a, b = tokens(text), tokens(item)
-    if len(b) < d.MIN_TOKENS or len(a) < d.MIN_TOKENS:
+    if not b:
         return False
     need = min(d.OVERLAP, len(b))
     for shift in range(-len(b) + 1, len(a)):
         equal = {j: a[shift + j] == b[j] for j in range(len(b)) if 0 <= shift + j < len(a)}
-        seeds = [j for j in equal for m in d.MASKS
-                 if all(equal.get(j + i) for i, c in enumerate(m) if c == "1") and j + len(m) <= len(b)
-                 and shift + j <= len(a) - len(d.MASKS[0])]
-        if seeds and any(sum(equal.get(s + i, -99) for i in range(need)) * 100 >= need * d.PERCENT for s in equal):
+        if any(sum(equal.get(s + i, -99) for i in range(need)) * 100 >= need * d.PERCENT for s in equal):
             return True
     return False
 
@@ -64,6 +63,49 @@ def test_items_are_named_once(spark):
     assert row["items"] == [1, 5] and row["share"] == 1.0
 
 
+def test_masks_meet_every_allowed_substitution():
+    def meets(masks, at, size, changed):
+        return any(not any(bit == "1" and p + i in changed for i, bit in enumerate(m))
+                   for m in masks for p in at if p + len(m) <= size)
+
+    for size in range(1, d.OVERLAP + 1):
+        may = size - -(-size * d.PERCENT // 100)
+        short = [masks for first, end, masks in d._short_classes() if first <= size < end]
+        masks, at = (short[0], [0]) if short else (d.MASKS, range(size))
+        assert all(len(m) <= size for m in masks)
+        for n in range(may + 1):
+            assert all(meets(masks, at, size, set(c)) for c in combinations(range(size), n))
+
+
+def test_short_items(spark):
+    """Items of 1 to 14 tokens between other words, with every number of substitutions up to one too many."""
+    rng = random.Random(5)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(1, 15)]
+    items += [(20, "\u4eca\u65e5\u306f\u3068\u3066\u3082\u826f\u3044\u5929\u6c17\u3067\u3059"), (21, "\u0e20\u0e32\u0e29\u0e32")]
+    cases = [(0, "none of them")]
+    for _, item in items:
+        words = tokens(item)
+        for changed in range(min(4, len(words) + 1)):
+            for _ in range(6):
+                inside = list(words)
+                for at in rng.sample(range(len(words)), changed):
+                    inside[at] = "other"
+                cases.append((len(cases), " ".join(["before", *inside, "after"])))
+    cases.append((len(cases), "\u6587" + items[-2][1] + "\u6587" * 40))
+    cases.append((len(cases), "\u6587" + items[-2][1][:9]))
+    found = d.contamination(frame(spark, *cases), benchmark(spark, items)).collect()
+    assert {r["id"]: r["items"] for r in found} == {
+        i: [n for n, item in items if verdict(text, item)] for i, text in cases}
+    assert 40 < sum(r["contaminated"] for r in found) < len(cases) - 40
+
+
+def test_repeated_tokens(spark):
+    """A long repetitive text beside a repetitive item."""
+    cases = [(1, "la " * 30_000), (2, "la lo " * 9_000), (3, "lo " * 12)]
+    found = d.contamination(frame(spark, *cases), benchmark(spark, [(1, "la " * 20), (2, "lo " * 12)]))
+    assert {r["id"]: (r["items"], r["share"]) for r in found.collect()} == {1: ([1], 1.0), 2: ([], 0.0), 3: ([2], 1.0)}
+
+
 def test_empty_tables(spark):
     assert d.contamination(frame(spark), benchmark(spark)).count() == 0
     assert not d.contamination(frame(spark, (1, ITEMS[0][1])), benchmark(spark, [])).first()["contaminated"]
