@@ -9,11 +9,12 @@ language is solved on them. A batch of texts is scored by two matrix products:
 presence times landmarks, and kernels times coefficients.
 
 Only the sample is bounded: LANDMARKS and TRAINING texts per language, those
-with the smallest hash of the id. Every text is scored whole.
+with the smallest hash of id and text, and the LANGUAGES labels with the most
+rows. Every text is scored whole.
 
 Results in special cases: a text that is null or has no letter is ``und`` with
 score 0; without any labelled text every text is ``und``; labels that are null
-are not learned; a null id is in the training fold if it carries a label; ties
+are not learned; repeated ids and rows are ranked like others; a null id is in the training fold if it carries a label; ties
 go to the first language in alphabetical order; repeated rows get the same
 answer each; an empty table gives an empty result; other columns pass through.
 """
@@ -34,6 +35,7 @@ from fieldloom.llm.common import prepare
 DIMENSIONS = 1 << 15
 LANDMARKS = 32      # per language
 TRAINING = 256      # per language, landmarks included
+LANGUAGES = 64      # labels that are learned; 4 MB of model each
 RIDGE = 1e-2
 UNKNOWN = "und"
 _ORDERS = 4
@@ -118,34 +120,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["lang", "bits"])
 
 
+def _unit(packed: np.ndarray) -> np.ndarray:
+    """Packed presence bits as rows of length 1."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+
+
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
-          landmarks: int = LANDMARKS, training: int = TRAINING) -> KernelModel:
-    """Fit on at most ``training`` texts per language, the first in order of a hash of the id."""
+          landmarks: int = LANDMARKS, training: int = TRAINING, most: int = LANGUAGES) -> KernelModel:
+    """Fit on at most ``training`` texts per language, the first in order of a hash of id and text.
+
+    Of more than ``most`` labels those with the most rows are learned.
+    """
     prepare(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
-                           F.xxhash64(F.col(id_col)).alias("_hash")).filter("lang is not null and text is not null")
-    # one row per language; where there are many texts, only hashes that may be among the first go to the ranking
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    bound = F.lit((1 << 63) - 1)
-    for name, n in sorted(counts.items()):
-        if n > 8 * training:
-            bound = F.when(F.col("lang") == name, F.lit(-(1 << 63) + (1 << 64) * 4 * training // n)).otherwise(bound)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", F.xxhash64("text")))
-    sample = (rows.filter(F.col("_hash") <= bound).withColumn("rank", rank).filter(F.col("rank") <= training)
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+                           F.xxhash64(id_col, text_col).alias("_hash")).filter("lang is not null and text is not null")
+    learned = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    rows = rows.filter(F.col("lang").isin(learned))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    # the last hash that is taken, from rows without texts: one row per language; tasks keep ``training`` rows each
+    last = {r["lang"]: r["last"] for r in rows.select("lang", "_hash").withColumn("rank", first)
+            .filter(F.col("rank") <= training).groupBy("lang").agg(F.max("_hash").alias("last")).collect()}
+    bound = F.lit(None).cast("long")
+    for name, value in sorted(last.items()):
+        bound = F.when(F.col("lang") == name, F.lit(value)).otherwise(bound)
+    sample = (rows.filter(F.col("_hash") <= bound).withColumn("rank", first).filter(F.col("rank") <= training)
               .orderBy("lang", "rank").select("lang", "text").mapInArrow(_sets, "lang string, bits binary").collect())
     sample = [r for r in sample if any(r["bits"])]      # texts without a letter teach nothing
     languages = sorted({r["lang"] for r in sample})
-    x = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in sample], np.float32)
+    packed = np.array([np.frombuffer(r["bits"], np.uint8) for r in sample])
     lang = np.array([languages.index(r["lang"]) for r in sample], np.int64)
     if not languages:
         return KernelModel([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((0, 0), np.float32))
-    x = x.reshape(len(sample), DIMENSIONS)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
     marks = np.concatenate([np.flatnonzero(lang == c)[:landmarks] for c in range(len(languages))])
-    z = x[marks]
+    z = _unit(packed[marks])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    phi = (x @ z.T).astype(np.float64) @ root
+    kernels = [_unit(packed[i:i + _BLOCK]) @ z.T for i in range(0, len(packed), _BLOCK)]
+    phi = np.concatenate(kernels).astype(np.float64) @ root
     # rows of each language weigh the same; targets are 1 and 0
     weight = 1 / np.bincount(lang)[lang]
     y = (lang[:, None] == np.arange(len(languages))).astype(np.float64)
@@ -163,7 +175,7 @@ def identify(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_n
              score_name: str = "score") -> DataFrame:
     """docs with the predicted language and a score from 0 to 1 (the share of the best among positive outputs)."""
     prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)     # of a fixed size: landmarks x DIMENSIONS
+    sent = docs.sparkSession.sparkContext.broadcast(model)     # at most LANGUAGES x LANDMARKS x DIMENSIONS floats
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:

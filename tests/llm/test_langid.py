@@ -59,3 +59,19 @@ def test_scores_equal_kernels_with_the_landmarks():
             other = set(presence(m, np.zeros(DIMENSIONS, bool)).tolist())
             kernels.append(len(mine & other) / np.sqrt(len(mine) * len(other)))
         assert np.allclose(row, np.array(kernels) @ coefficients, atol=1e-5)
+
+
+def test_repeated_ids_and_rows_are_learned_at_any_size(spark):
+    """Rows that share an id, or are equal, are ranked like others: neither language is lost."""
+    shared = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("abc abd "), "id").alias("text"), F.lit("p").alias("lang"))
+    nulls = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("xyz xyw "), "id").alias("text"), F.lit("q").alias("lang"))
+    equal = spark.range(3000).select(F.lit(9).cast("long").alias("doc_id"), F.lit("mno mnp").alias("text"), F.lit("r").alias("lang"))
+    model = train(shared.unionByName(nulls).unionByName(equal), "doc_id", "text", "lang", landmarks=4, training=8)
+    assert model.languages == ["p", "q", "r"] and model.landmarks.shape[1] == 12
+    out = identify(frame(spark, (1, "abc abd"), (2, "xyz xyw"), (3, "mno mnp")), model)
+    assert [r["lang_pred"] for r in out.orderBy("doc_id").collect()] == ["p", "q", "r"]
+
+
+def test_the_most_frequent_labels_are_learned(spark):
+    rows = [(i, f"word{lang} {i}", lang, "s") for n, lang in ((5, "a"), (3, "b"), (9, "c"), (3, "d")) for i in range(n)]
+    assert train(frame(spark, *rows), "doc_id", "text", "lang", most=3).languages == ["a", "b", "c"]
