@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import documents as docs
-from fieldloom.operators import accounts, codes, integrity, lookup, matching, quota, resumes, stats
+from fieldloom.operators import accounts, codes, gate, integrity, lookup, matching, quota, resumes, stats
 from fieldloom.plans import match_forms as forms
 from fieldloom.session import configure, work_dir
 from fieldloom.sources import derived, tables
@@ -369,6 +369,54 @@ def normalise_matches(t: Tables) -> DataFrame:
     return matching.match_rows(matching.read_answers(t.model_outputs))
 
 
+# --- changes behind the active-user gate, with the batch's own deactivations ---
+
+def _gate(t: Tables, requests: DataFrame) -> gate.Gate:
+    return gate.behind_gate(requests, t.users, t.deactivations)
+
+
+@query
+def gate_as_of(t: Tables) -> DataFrame:
+    return gate.gate_as_of(t.redeem_requests, t.users, t.deactivations)
+
+
+@query
+def gated_redeem(t: Tables) -> DataFrame:
+    split = _gate(t, t.redeem_requests)
+    return split.verdicts(codes.redeem_codes(split.passed, t.activation_codes, t.user_activations).verdicts)
+
+
+@query
+def gated_redeem_state(t: Tables) -> DataFrame:
+    passed = _gate(t, t.redeem_requests).passed
+    return codes.redeem_codes(passed, t.activation_codes, t.user_activations).codes.select(
+        "code_id", "used_count", "status")
+
+
+@query
+def gated_update_users(t: Tables) -> DataFrame:
+    changes = accounts.update_users(derived.view(t.spark, t.sf_dir, "users"), _gate(t, t.user_patches).passed)
+    return changes.users.select("user_id", "email", "password_hash", "updated_at")
+
+
+@query
+def gated_update_users_requests(t: Tables) -> DataFrame:
+    split = _gate(t, t.user_patches)
+    changes = accounts.update_users(derived.view(t.spark, t.sf_dir, "users"), split.passed)
+    return split.verdicts(changes.verdicts.select("request_id", "user_id", "verdict"))
+
+
+@query
+def gated_delete_resumes(t: Tables) -> DataFrame:
+    return resumes.delete_resumes(t.resumes, _gate(t, t.resume_requests).passed).resumes.select("resume_id", "user_id")
+
+
+@query
+def gated_delete_resumes_verdicts(t: Tables) -> DataFrame:
+    split = _gate(t, t.resume_requests)
+    return split.verdicts(resumes.delete_resumes(t.resumes, split.passed).verdicts.select("request_id", "verdict"))
+
+
 def _match_forms(t: Tables) -> forms.FormMatching:
     return forms.match_forms(
         t.match_requests, t.form_fields, t.resumes, t.users, t.user_activations, t.match_answers)

@@ -205,6 +205,7 @@ _SHARED["drawn"] = """
     JOIN covers c ON c.user_id = u.user_id AND u.k <= c.upto AND u.k > c.upto - c.delta"""
 
 ORACLE: dict[str, str] = {}
+_BODIES: dict[str, str] = {}
 
 
 def _needed(body: str) -> list[str]:
@@ -223,8 +224,32 @@ def _needed(body: str) -> list[str]:
 
 
 def _add(name: str, body: str) -> None:
-    tables = ",\n".join(f"{table} AS ({_SHARED[table]})" for table in _needed(body))
-    ORACLE[name] = f"WITH RECURSIVE {tables}\n{body}" if "email_rounds" in tables else f"WITH {tables}\n{body}"
+    _BODIES[name] = body
+    _put(name, {table: _SHARED[table] for table in _needed(body)}, body)
+
+
+def _put(name: str, tables: dict[str, str], body: str) -> None:
+    listed = ",\n".join(f"{table} AS ({text})" for table, text in tables.items())
+    ORACLE[name] = f"WITH RECURSIVE {listed}\n{body}" if "email_rounds" in listed else f"WITH {listed}\n{body}"
+
+
+def _add_gated(name: str, plain: str, requests: str, refused: str = "") -> None:
+    """The plain query over the requests that pass the gate when they come, and its rows for the others."""
+    body = _BODIES[plain]
+    tables = {}
+    for table in _needed(f"users deactivations {body}"):
+        if table == requests:
+            tables["judged"] = f"""
+        SELECT q.*, CASE WHEN u.user_id IS NULL THEN 'invalid_credentials'
+            WHEN u.status <> 'active' OR EXISTS (SELECT 1 FROM deactivations d
+              WHERE d.user_id = q.user_id AND d.requested_at <= q.requested_at) THEN 'deactivated'
+            ELSE 'pass' END AS gate
+        FROM ({_SHARED[requests]}) q LEFT JOIN users u ON u.user_id = q.user_id"""
+            tables[table] = "SELECT * EXCLUDE (gate) FROM judged WHERE gate = 'pass'"
+        else:
+            tables[table] = _SHARED[table]
+    _put(name, tables, f"SELECT * FROM ({body})" + (
+        f" UNION ALL BY NAME SELECT {refused}, gate AS verdict FROM judged WHERE gate <> 'pass'" if refused else ""))
 
 
 # --- scans and sinks
@@ -586,3 +611,16 @@ _add("edit_fields_mixed_verdicts", """
     SELECT d.request_id, CASE WHEN d.request_id % 3 <> 1 AND d.patch = '{}' THEN 'empty_patch'
         WHEN r.resume_id IS NULL THEN 'not_found' ELSE 'ok' END AS verdict
     FROM field_edits d LEFT JOIN resumes r ON r.resume_id = d.resume_id AND r.user_id = d.user_id""")
+
+# --- changes behind the active-user gate
+_add("gate_as_of", """
+    SELECT r.*, CASE WHEN u.user_id IS NULL THEN 'invalid_credentials'
+        WHEN u.status <> 'active' OR EXISTS (SELECT 1 FROM deactivations d
+          WHERE d.user_id = r.user_id AND d.requested_at <= r.requested_at) THEN 'deactivated' ELSE 'pass' END AS gate
+    FROM redeem_requests r LEFT JOIN users u ON u.user_id = r.user_id""")
+_add_gated("gated_redeem", "redeem_codes", "redeem_requests", "request_id, user_id, code, requested_at")
+_add_gated("gated_redeem_state", "redeem_codes_state", "redeem_requests")
+_add_gated("gated_update_users", "update_users", "user_patches")
+_add_gated("gated_update_users_requests", "update_users_requests", "user_patches", "request_id, user_id")
+_add_gated("gated_delete_resumes", "delete_resumes", "resume_requests")
+_add_gated("gated_delete_resumes_verdicts", "delete_resumes_verdicts", "resume_requests", "request_id")
