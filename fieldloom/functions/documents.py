@@ -34,6 +34,16 @@ def parse_document(json_text: Column) -> Column:
     return F.coalesce(F.get(parsed, F.lit(0)), no_fields())
 
 
+def is_broken(json_text: Column) -> Column:
+    """Whether text is there that is not a JSON object; JSON null is no document, not a broken one."""
+    return F.from_json(json_text, DOCUMENT).isNull() & json_text.isNotNull() & (F.trim(json_text) != "null")
+
+
+def document_text(fields: Column) -> Column:
+    """The map as a JSON object, null values included."""
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
 def field_count(fields: Column) -> Column:
     return F.coalesce(F.size(F.map_keys(fields)), F.lit(0))
 

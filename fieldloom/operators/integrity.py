@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom import schemas
+from fieldloom.functions.documents import is_broken
 from fieldloom.operators.skew import skew_join
 
 # child table, foreign key, parent table, parent key
@@ -35,6 +37,8 @@ def _rules(table: str, df: DataFrame) -> list[tuple[str, str, Column]]:
     for (owner, column), limit in schemas.MAX_LENGTHS.items():
         if owner == table and column in df.columns:
             rules.append((column, f"max_length_{limit}", F.char_length(column) > limit))
+    if table == "resumes" and "fields" in df.columns and df.schema["fields"].dataType == T.StringType():
+        rules.append(("fields", "json_object", is_broken(F.col("fields"))))
     if table in _STATUSES:
         rules.append(("status", "in_domain", ~F.lower("status").isin(*_STATUSES[table])))
     return rules

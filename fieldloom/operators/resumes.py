@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom import dimensions, schemas
 from fieldloom.functions import documents as docs
 from fieldloom.operators.lookup import owned_resumes
-from fieldloom.operators.skew import PROBE, Running, SkewPolicy, Timeline, shared
+from fieldloom.operators.skew import PROBE, Running, SkewPolicy, Timeline, shared, skew_join
 
 
 @dataclass(frozen=True)
@@ -216,6 +216,28 @@ def edit_fields(resumes: DataFrame, edits: DataFrame) -> Changes:
     return Changes(state, verdicts)
 
 
+def split_stored(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resumes with parsed documents, and the raw rows whose document is not a JSON object."""
+    broken = docs.is_broken(F.col("fields"))
+    return raw.filter(~broken).withColumn("fields", docs.parse_document(F.col("fields"))), raw.filter(broken)
+
+
+def edit_stored(raw: DataFrame, edits: DataFrame) -> Changes:
+    """``edit_fields`` on resumes whose documents are JSON text, which stay text.
+
+    A broken document is in quarantine: it stays byte for byte as it is, and
+    edits of it are refused with ``corrupt_document``.
+    """
+    sound, broken = split_stored(raw)
+    changes = edit_fields(sound, edits)
+    held = broken.select("resume_id", "user_id", F.lit(True).alias("_broken"))
+    verdict = F.when(F.col("_broken") & (F.col("verdict") == "not_found"), "corrupt_document").otherwise(F.col("verdict"))
+    verdicts = (skew_join(changes.verdicts, held, ["resume_id", "user_id"], "left", ["request_id"])
+                .withColumn("verdict", verdict).select(*changes.verdicts.columns))
+    written = changes.resumes.withColumn("fields", docs.document_text(F.col("fields")))
+    return Changes(written.unionByName(broken), verdicts)
+
+
 def migrate_resumes(legacy: DataFrame, backfill: bool = False) -> DataFrame:
     """The four-document layout to title and fields.
 

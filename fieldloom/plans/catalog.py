@@ -318,12 +318,16 @@ def _edited_entries(t: Tables, **columns: F.Column) -> DataFrame:
     return resumes.entries(state)
 
 
-def _mixed_edits(t: Tables) -> resumes.Changes:
-    """Every third request deletes a key, the others merge; stamps start empty."""
+def _edits_in_turn(t: Tables) -> DataFrame:
+    """Every third request deletes a key, the others merge."""
     deletes = F.col("request_id") % 3 == 1
-    edits = t.field_edits.withColumns({
+    return t.field_edits.withColumns({
         "patch": F.when(~deletes, docs.parse_document(F.col("patch"))), "field_key": F.when(deletes, F.col("field_key"))})
-    return resumes.edit_fields(t.resumes.withColumn("updated_at", F.lit(None).cast("timestamp_ntz")), edits)
+
+
+def _mixed_edits(t: Tables) -> resumes.Changes:
+    """Stamps start empty."""
+    return resumes.edit_fields(t.resumes.withColumn("updated_at", F.lit(None).cast("timestamp_ntz")), _edits_in_turn(t))
 
 
 @query
@@ -338,6 +342,25 @@ def edit_fields_mixed_verdicts(t: Tables) -> DataFrame:
     return _mixed_edits(t).verdicts.select("request_id", "verdict")
 
 
+@query
+def edit_stored_resumes(t: Tables) -> DataFrame:
+    """Stored documents after the same edits: sound ones as text, broken ones as they are."""
+    state = resumes.edit_stored(t.stored_resumes, _edits_in_turn(t)).resumes
+    broken = docs.is_broken(F.col("fields"))
+    content = F.when(broken, F.col("fields")).otherwise(docs.resume_text(docs.parse_document(F.col("fields"))))
+    return state.select("resume_id", broken.alias("broken"), content.alias("content"))
+
+
+@query
+def edit_stored_verdicts(t: Tables) -> DataFrame:
+    return resumes.edit_stored(t.stored_resumes, _edits_in_turn(t)).verdicts.select("request_id", "verdict")
+
+
+@query
+def check_documents(t: Tables) -> DataFrame:
+    return integrity.check_lengths({"resumes": t.stored_resumes}).filter("rule = 'json_object'")
+
+
 @query
 def merge_fields_verdicts(t: Tables) -> DataFrame:
     edits = t.field_edits.withColumns({

@@ -624,3 +624,26 @@ _add_gated("gated_update_users", "update_users", "user_patches")
 _add_gated("gated_update_users_requests", "update_users_requests", "user_patches", "request_id, user_id")
 _add_gated("gated_delete_resumes", "delete_resumes", "resume_requests")
 _add_gated("gated_delete_resumes_verdicts", "delete_resumes_verdicts", "resume_requests", "request_id")
+
+# --- stored documents, broken ones in quarantine
+_BROKEN = ("fields IS NOT NULL AND coalesce(CASE WHEN json_valid(fields) THEN json_type(fields) END, '') "
+           "NOT IN ('OBJECT', 'NULL')")
+
+
+def _add_stored(name: str, plain: str, body: str) -> None:
+    """The plain query over the sound documents as ``edited``, beside the stored ones."""
+    tables = {table: _SHARED[table] for table in _needed(f"stored_resumes {_BODIES[plain]}")}
+    tables["resumes"] = f"SELECT * FROM stored_resumes WHERE NOT ({_BROKEN})"
+    _put(name, tables, body.format(edited=f"({_BODIES[plain]})", broken=f"(SELECT * FROM stored_resumes WHERE {_BROKEN})"))
+
+
+_add_stored("edit_stored_resumes", "edit_fields_mixed", """
+    SELECT resume_id, false AS broken, resume_text AS content FROM {edited}
+    UNION ALL SELECT resume_id, true, fields FROM {broken}""")
+_add_stored("edit_stored_verdicts", "edit_fields_mixed_verdicts", """
+    SELECT v.request_id, CASE WHEN v.verdict = 'not_found' AND EXISTS (SELECT 1 FROM {broken} b
+        JOIN field_edits d ON d.resume_id = b.resume_id AND d.user_id = b.user_id WHERE d.request_id = v.request_id)
+      THEN 'corrupt_document' ELSE v.verdict END AS verdict FROM {edited} v""")
+_add("check_documents", f"""
+    SELECT 'resumes' AS table_name, 'fields' AS column_name, 'json_object' AS rule, count(*) FILTER (WHERE {_BROKEN}) AS violations
+    FROM stored_resumes""")
