@@ -22,9 +22,12 @@ def verdict(text, item):
     if not b:
         return False
     need = min(d.OVERLAP, len(b))
+    held = set(a)
+    if sum(word in held for word in b) * 100 < need * d.PERCENT:
+        return False
     for shift in range(-len(b) + 1, len(a)):
         equal = {j: a[shift + j] == b[j] for j in range(len(b)) if 0 <= shift + j < len(a)}
-        if any(sum(equal.get(s + i, -99) for i in range(need)) * 100 >= need * d.PERCENT for s in equal):
+        if sum(equal.values()) * 100 >= need * d.PERCENT and any(sum(equal.get(s + i, -99) for i in range(need)) * 100 >= need * d.PERCENT for s in equal):
             return True
     return False
 
