@@ -270,6 +270,9 @@ def usage_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a stream over its source file."""
+    """A derived table as a stream over its source: a file, or a folder of files.
+
+    A stream takes a single file only by a pattern, so the path is one that matches itself.
+    """
     return _select(spark, name, lambda source: tables.stream_table(
-        spark, sf_dir, STAR_SCHEMAS[source], pathGlobFilter=f"{source}.parquet"))
+        spark, f"{sf_dir}/{source}.parque[t]", STAR_SCHEMAS[source]))

@@ -42,5 +42,7 @@ def stream_daily_usage(logs: DataFrame, folder: str) -> DataFrame:
 
 def stream_extract_matches(outputs: DataFrame, folder: str) -> DataFrame:
     """Valid matches of model outputs as they arrive."""
-    runs.to_files(matching.match_rows(matching.read_answers(outputs)), folder)
-    return outputs.sparkSession.read.parquet(f"{folder}/rows")
+    matches = matching.match_rows(matching.read_answers(outputs))
+    runs.to_files(matches, folder)
+    # the schema is told, as there is no file when nothing matched
+    return outputs.sparkSession.read.schema(matches.schema).parquet(f"{folder}/rows")

@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import codes, quota
+from fieldloom.plans.catalog import QUERIES
 from fieldloom.sources import tables
 from fieldloom.streaming import runs, stateful, usage
 from fieldloom.streaming.state import FAN, StreamState
+from small_data import SMALL
 from test_quota import frames, moment, redemption, redemption_frames, timelines
 
 CUTS = [0, 9, 17, 30, 99]
@@ -86,6 +88,22 @@ def test_match_stats(spark, folder):
         r["user_id"]: (r["count(1)"], r["sum(fields_count)"], r["sum(success_count)"]) for r in expected}
 
 
+def test_streams_over_a_file_and_over_a_folder_of_files(spark, folder):
+    """A source that is a folder of files streams all of its rows."""
+    for source in ("conversations", "events"):
+        spark.read.parquet(f"{SMALL}/{source}.parquet").repartition(3).write.parquet(f"{folder}/{source}.parquet")
+    for name in ("stream_extract_matches", "stream_match_stats", "stream_daily_usage"):
+        got = rows(QUERIES[name](spark, folder))
+        assert got and got == rows(QUERIES[name](spark, SMALL))
+
+
+def test_extract_matches_without_a_match(spark, folder):
+    schema = "request_id long, status_code int, output_text string"
+    tables.append_table(spark.createDataFrame([(1, 200, "no array here"), (2, 500, "[{}]")], schema), f"{folder}/landing")
+    got = usage.stream_extract_matches(tables.stream_table(spark, f"{folder}/landing", schema), folder)
+    assert got.columns == ["request_id", "pos", "field_name", "field_type", "matched_value"] and got.count() == 0
+
+
 def test_steps_run_with_adaptive_execution(spark, folder):
     seen = []
     tables.append_table(spark.range(5), f"{folder}/landing")
