@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fieldloom.session import durable
 
 ROWS = "_key_rows"
+PROBES, MANY = 1 << 14, 256     # buckets that keys are counted in first, and how many are named in a filter
 SALT = "_salt"
 SALTS = "_salts"
 BLOCK = "_block"
@@ -58,7 +59,14 @@ def shared(df: DataFrame) -> DataFrame:
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys | None:
     """The keys of df with more than ``groupRows`` rows, or None when there are none."""
     policy = SkewPolicy.of(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS)).filter(F.col(ROWS) > policy.groupRows)
+    rows, bucket = F.count(F.lit(1)), F.pmod(F.xxhash64(*keys), F.lit(PROBES))
+    # a bucket without too many rows holds no such key; so few rows are shuffled where keys are many
+    full = [r[0] for r in df.groupBy(bucket.alias("_probe")).agg(rows.alias(ROWS)).filter(F.col(ROWS) > policy.groupRows)
+            .select("_probe").collect()]        # PROBES numbers at most
+    if not full:
+        return None
+    suspects = df if len(full) > MANY else df.filter(bucket.isin(full))
+    counts = suspects.groupBy(*keys).agg(rows.alias(ROWS)).filter(F.col(ROWS) > policy.groupRows)
     # the counting job itself is the probe; only a non-empty result is written
     n_keys, n_rows = counts.agg(F.count(F.lit(1)), F.sum(ROWS)).first()
     return HotKeys(durable(counts), n_keys, n_rows) if n_keys else None

@@ -593,7 +593,10 @@ def _by_time(at: str) -> tuple:
 
 
 def _ledger(t: Tables, slices: tuple, delay: timedelta) -> DataFrame:
-    events = quota.quota_events(t.user_activations, t.quota_uses)
+    # numbering the uses takes a sort of all lines: done once for all slices
+    folder = work_dir(t.spark, "events")
+    tables.write_version(quota.quota_events(t.user_activations, t.quota_uses), folder)
+    events = tables.read_table(t.spark, folder)
     return _replay(t, events, slices,
                    lambda stream, folder, last: stateful.stream_quota_ledger(stream, folder, delay, last))
 

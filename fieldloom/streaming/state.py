@@ -140,14 +140,15 @@ class StreamState:
 
     def __init__(self, spark: SparkSession, folder: str, batch_id: int):
         self.spark, self.folder, self.batch_id, self.files = spark, folder, batch_id, Files(spark)
-        found = {"logs": {}, "watermark": None, "held": None, "ended": False}
+        found = {"logs": {}, "watermark": None, "held": [], "ended": False}
         if batch_id > 0:
             found = json.loads(self.files.read(self._manifest(batch_id - 1)))
         self.before = json.loads(json.dumps(found))
         self.logs: dict[str, list] = found["logs"]
         self.watermark = found["watermark"]
-        self.held = found["held"]
+        self.held: list[list] = found["held"]       # [run, time of its first row]
         self.ended = found["ended"]
+        self.released = False
 
     @classmethod
     def latest(cls, spark: SparkSession, folder: str, ended: bool = True) -> StreamState:
@@ -170,31 +171,51 @@ class StreamState:
 
         The watermark trails the latest event by ``delay``; None ends the
         stream and releases everything. Rows beyond it are held for a later
-        batch. A row without a time is late, as its place is unknown.
+        batch, in runs with the time of their first row: a run is read and
+        written again only once some of it is due. A row without a time is
+        late, as its place is unknown. ``released`` tells whether any may be due.
         """
         time = F.col(at)
         behind = time.isNull()
         if self.watermark is not None:
             behind = behind | (time <= F.lit(datetime.fromisoformat(self.watermark)).cast("timestamp_ntz"))
-        late, fresh = batch.filter(behind), batch.filter(~behind)
-        waiting = fresh
-        if self.held is not None:
-            waiting = self.spark.read.schema(batch.schema).parquet(f"{self.folder}/held/{self.held}").unionByName(fresh)
+        fresh, nothing = batch.filter(~behind), batch.limit(0)
         if delay is None:
-            self.held, self.ended = None, True
-            return waiting, late
-        newest = fresh.agg(F.max(at)).first()[0]
+            waiting = self._waiting(fresh, self.held)
+            self.held, self.ended, self.released = [], True, True
+            return waiting, batch.filter(behind)
+        first, newest, n_late = batch.agg(
+            F.min(F.when(~behind, time)), F.max(F.when(~behind, time)), F.count_if(behind)).first()
+        late = batch.filter(behind) if n_late else nothing
         if newest is not None:
             reached = (newest - delay).isoformat()
             self.watermark = max(self.watermark or reached, reached, key=datetime.fromisoformat)
         if self.watermark is None:
-            return waiting.limit(0), late
-        if not delay and self.held is None:
-            return waiting, late        # nothing is later than the latest
-        due = time <= F.lit(datetime.fromisoformat(self.watermark)).cast("timestamp_ntz")
-        write_version(waiting.filter(~due), f"{self.folder}/held/{self.batch_id}")
-        self.held = self.batch_id
-        return waiting.filter(due), late
+            return nothing, late
+        if not delay and not self.held:
+            self.released = newest is not None
+            return fresh, late          # nothing is later than the latest
+        reached = datetime.fromisoformat(self.watermark)
+        touched = [run for run in self.held if datetime.fromisoformat(run[1]) <= reached]
+        self.released = bool(touched) or (first is not None and first <= reached)
+        if not touched and newest is None:
+            return nothing, late
+        waiting = self._waiting(fresh, touched)
+        due = time <= F.lit(reached).cast("timestamp_ntz")
+        path = f"{self.folder}/held/{self.batch_id}"
+        write_version(waiting.filter(~due) if self.released else waiting, path)
+        self.held = [run for run in self.held if run not in touched]
+        if self.released:
+            first = self.spark.read.schema(batch.schema).parquet(path).agg(F.min(at)).first()[0]
+        if first is not None:
+            self.held.append([str(self.batch_id), first.isoformat()])
+        return waiting.filter(due) if self.released else nothing, late
+
+    def _waiting(self, fresh: DataFrame, runs: Sequence[list]) -> DataFrame:
+        if not runs:
+            return fresh
+        held = self.spark.read.schema(fresh.schema).parquet(*[f"{self.folder}/held/{run}" for run, _ in runs])
+        return held.unionByName(fresh)
 
     def commit(self) -> None:
         now = {"logs": self.logs, "watermark": self.watermark, "held": self.held, "ended": self.ended}
@@ -205,7 +226,7 @@ class StreamState:
                 if entry.startswith("_run=") and entry[5:] not in used:
                     self.files.remove(f"{self.folder}/state/{name}/{entry}")
         for entry in self.files.names(f"{self.folder}/held"):
-            if entry not in {str(self.before["held"]), str(self.held)}:
+            if entry not in {run for run, _ in [*self.before["held"], *self.held]}:
                 self.files.remove(f"{self.folder}/held/{entry}")
         # a later batch needs its predecessor's manifest only
         self.files.remove(self._manifest(self.batch_id - 2))

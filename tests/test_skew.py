@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.operators import skew
 from fieldloom.operators.skew import Running, Timeline, hot_keys, skew_join
 
 
@@ -116,3 +117,14 @@ def test_blocks_are_small(left, tiny_limits):
     sizes = timeline.blocks.groupBy("k", "_block").count()
     assert sizes.agg(F.max("count")).first()[0] < 60  # key 0 alone has about 160 rows
     assert timeline.plain.filter("k = 0 OR k IS NULL").isEmpty()
+
+
+@pytest.mark.parametrize("many", [0, 256])
+def test_hot_keys_are_those_with_too_many_rows(spark, tiny_limits, monkeypatch, many):
+    """Buckets that keys share in the first count add no key and lose none."""
+    monkeypatch.setattr(skew, "PROBES", 5)
+    monkeypatch.setattr(skew, "MANY", many)
+    df = spark.createDataFrame([(k,) for k in [*range(40), *[7] * 30, *[None] * 20, *[9] * 11]], "k long")
+    hot = skew.hot_keys(df, ["k"])
+    assert {(r["k"], r[skew.ROWS]) for r in hot.table.collect()} == {(7, 31), (None, 20)} and hot.n_rows == 51
+    assert skew.hot_keys(df.filter("k < 7"), ["k"]) is None

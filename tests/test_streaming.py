@@ -150,6 +150,23 @@ def test_late_events_are_named_and_change_nothing(spark, folder):
     assert refused and all(r["ok"] is None and r["balance"] is None for r in refused)
 
 
+def test_held_events_are_written_once_until_some_are_due(spark, folder):
+    schema = "user_id long, event_at timestamp_ntz, kind int, event_id long, delta long"
+    arrived = [[(1, moment(5), 0, 1, 3)], [(1, moment(6), 1, 2, -1)], [(1, moment(30), 1, 3, -1)]]
+    held = []
+    for batch in arrived:
+        tables.append_table(spark.createDataFrame(batch, schema), f"{folder}/landing")
+        got = stateful.stream_quota_ledger(tables.stream_table(spark, f"{folder}/landing", schema), folder, moment(24) - moment(0))
+        held.append([run for run, _ in StreamState.latest(spark, folder).held])
+    # the second batch wrote its own event only, the third released both runs
+    assert held == [["0"], ["0", "1"], ["2"]]
+    assert rows(got.select("use_id", "ok", "balance")) == [(2, True, 2)]
+    # nothing came due in the first two, so they left no balances
+    assert [run for _, run in StreamState.latest(spark, folder).logs["balances"]] == ["2"]
+    ended = stateful.stream_quota_ledger(tables.stream_table(spark, f"{folder}/landing", schema), folder, moment(24) - moment(0), final=True)
+    assert rows(ended.select("use_id", "ok", "balance")) == [(2, True, 2), (3, True, 1)]
+
+
 def test_an_end_is_taken_back_by_a_later_arrival(spark, folder):
     g, u = frames(spark, *timelines(53, n=60))
     events, delay = quota.quota_events(g, u), timedelta(days=10_000)
