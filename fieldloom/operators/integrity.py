@@ -57,6 +57,18 @@ def check_lengths(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+def check_rule(table: str, df: DataFrame, rule: str) -> DataFrame:
+    """The report on one rule of a table: its broken rows are counted by column, and columns without any get 0."""
+    rules = [(column, broken) for column, name, broken in _rules(table, df) if name == rule]
+    columns = df.sparkSession.createDataFrame([(table, column, rule) for column, _ in rules],
+                                              "table_name string, column_name string, rule string")
+    broken = F.array(*[F.when(broken, F.lit(column)) for column, broken in rules])
+    found = (df.select(F.explode(broken).alias("column_name")).filter("column_name is not null")
+             .groupBy("column_name").agg(F.count(F.lit(1)).alias("violations")))
+    return columns.join(F.broadcast(found), "column_name", "left").select(
+        "table_name", "column_name", "rule", F.coalesce("violations", F.lit(0)).alias("violations"))
+
+
 def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per foreign key whose parent is missing.
 

@@ -358,7 +358,7 @@ def edit_stored_verdicts(t: Tables) -> DataFrame:
 
 @query
 def check_documents(t: Tables) -> DataFrame:
-    return integrity.check_lengths({"resumes": t.stored_resumes}).filter("rule = 'json_object'")
+    return integrity.check_rule("resumes", t.stored_resumes, "json_object")
 
 
 @query

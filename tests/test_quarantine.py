@@ -3,6 +3,8 @@
 from datetime import datetime
 
 from fieldloom.operators import integrity, resumes
+from fieldloom.sources import derived
+from small_data import SMALL
 
 TEXTS = {1: '{"a":"1","b":null}', 2: '{"a": ', 3: "", 4: "[1]", 5: None, 6: "null", 7: "plain é\ttext", 8: '{"a":"x"} '}
 BROKEN = {2, 3, 4, 7}
@@ -34,3 +36,12 @@ def test_broken_documents_are_counted(spark):
 def test_empty_tables(spark):
     changes = resumes.edit_stored(stored(spark).limit(0), edits(spark, (1, 1, 9, {"c": "3"}, None)))
     assert changes.resumes.count() == 0 and changes.verdicts.first()["verdict"] == "not_found"
+
+
+def test_check_rule_is_the_report_on_one_rule(spark):
+    stored = derived.view(spark, SMALL, "stored_resumes")
+    for df in (stored, stored.limit(0)):
+        whole = integrity.check_lengths({"resumes": df}).filter("rule = 'json_object'").collect()
+        one = integrity.check_rule("resumes", df, "json_object")
+        assert one.columns == ["table_name", "column_name", "rule", "violations"]
+        assert one.collect() == whole and len(whole) == 1
