@@ -15,6 +15,17 @@ Three passes over the texts, none of which keeps a corpus-wide table in a task:
    locally frequent. Phrases of the union below that are out.
 3. Counts: every shard counts the rest of the union, and the sums are exact.
 
+Only the ``top`` phrases of a group are asked for, so pass 3 counts those only
+that can decide them. A phrase scores at most 1000 * n / f of its first word,
+and of its last (it is no more frequent than what is left without that word). So
+if ``top`` phrases score above 1000 * n / (x + 1), all of the top begin and end
+in words with f <= x. Their cuts begin or end in such a word, and so does each
+phrase of one more word that may hold all their occurrences: pass 3 hands on the
+counts of phrases that begin or end in a word with f <= x. The first x comes from
+the words' counts (START). In groups where it then proves too small pass 3 runs
+again with a larger one, at last with none. What a shard hands on is bounded by
+``top``, however many frequent phrases the corpus has.
+
 The union is handed to pass 3 as a table of sums by hashed slot, of fixed size
 (2^BITS bytes, no sum above 255; the support less what is uncounted must stay
 below that). Two phrases may share a slot: then one is counted in vain, never is
@@ -52,6 +63,7 @@ BITS = 24               # 2^24 sums of one byte are 16 MB
 LONGEST = 5
 SUPPORT = 100
 TOP = 2000
+START, WIDER = 40, 4    # occurrences of the first and last words counted first, in ``top`` times the support; the second time
 THRESHOLDS = 4096       # groups whose lowered support is sent to the tasks; the others are mined at 1
 _BLOCK_BITS = 14
 _ROWS = 1 << 15
@@ -338,8 +350,12 @@ def _mine(words: np.ndarray, totals: dict[str, int], support: int, longest: int,
     return mined
 
 
-def _count_phrases(words: np.ndarray, phrases: np.ndarray, needed: dict[str, int], support: int, longest: int, limit: int):
-    """Pass 3: (group, phrase, count) of every shard for the phrases whose sum in pass 2 leaves them a chance."""
+def _count_phrases(words: np.ndarray, phrases: np.ndarray, ends: np.ndarray, needed: dict[str, int], support: int,
+                   longest: int, limit: int):
+    """Pass 3: (group, phrase, count) of every shard for the phrases whose sum in pass 2 leaves them a chance.
+
+    They begin or end in one of the words in ``ends``.
+    """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, limit):
             least = np.array([min(255, needed.get(g, support)) for g in shard.groups], np.int64)
@@ -347,8 +363,11 @@ def _count_phrases(words: np.ndarray, phrases: np.ndarray, needed: dict[str, int
             def keep(places, times, hashes, shard=shard, least=least):
                 return phrases[_slots(hashes)] >= least[shard.group[shard.ids[places]]]
 
-            spelled, groups = shard.words, np.array(shard.groups, object)
-            for length, places, times, _ in _levels(shard, words[_slots(shard.hashes())] > 0, keep, longest):
+            spelled, groups, slots = shard.words, np.array(shard.groups, object), _slots(shard.hashes())
+            end = ends[slots] > 0
+            for length, places, times, _ in _levels(shard, words[slots] > 0, keep, longest):
+                wanted = end[shard.ids[places]] | end[shard.ids[places + length - 1]]
+                places, times = places[wanted], times[wanted]
                 numbers = shard.word[shard.ids[places[:, None] + np.arange(length)]]
                 used, inside = np.unique(numbers, return_inverse=True)
                 text = [w.decode() for w in spelled.take(pa.array(used)).to_pylist()]
@@ -362,8 +381,11 @@ def _count_phrases(words: np.ndarray, phrases: np.ndarray, needed: dict[str, int
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "lang", support: int = SUPPORT,
-                     longest: int = LONGEST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(group, phrase, f) of all phrases of 1 to ``longest`` words with ``support`` occurrences, and (group, n)."""
+                     longest: int = LONGEST, shard: int = SHARD, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(group, phrase, f) of all phrases of 1 to ``longest`` words with ``support`` occurrences, and (group, n).
+
+    With ``top``, of longer phrases those only that decide the ``top`` collocations of each group.
+    """
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("group"),
                         F.col(text_col).cast("string").alias("text"))
@@ -374,7 +396,9 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "
     words = one.filter("word is not null")
     # a bounded table: groups beyond it are mined at the lowest support
     largest = {r["group"]: r["n"] for r in totals.orderBy(F.desc("n"), "group").limit(THRESHOLDS).collect()}
-    known = spark.sparkContext.broadcast(_table(words.select("group", "word").mapInArrow(_word_slots, _TALLY_ROWS)))
+    slots_of = lambda some: spark.sparkContext.broadcast(
+        _table(some.select("group", "word").mapInArrow(_word_slots, _TALLY_ROWS)))
+    known = slots_of(words)
 
     def local(batches):
         return _mine(known.value, largest, support, longest, shard)(batches)
@@ -385,12 +409,48 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "
     needed = {r["group"]: support - r["n"] for r in uncounted}
     sums = spark.sparkContext.broadcast(_table(mined))
 
-    def exact(batches):
-        return _count_phrases(known.value, sums.value, needed, support, longest, shard)(batches)
-
-    more = stored(texts.mapInArrow(exact, schema).groupBy("group", "word").agg(F.sum("n").alias("n"))
-                  .filter(F.col("n") >= support), "phrases")
-    return words.unionByName(more).select("group", F.col("word").alias("phrase"), F.col("n").alias("f")), totals
+    def counted(ends):
+        def exact(batches):
+            return _count_phrases(known.value, sums.value, ends.value, needed, support, longest, shard)(batches)
+
+        more = stored(texts.mapInArrow(exact, schema).groupBy("group", "word").agg(F.sum("n").alias("n"))
+                      .filter(F.col("n") >= support), "phrases")
+        return more.select("group", F.col("word").alias("phrase"), F.col("n").alias("f"))
+
+    single = words.select("group", F.col("word").alias("phrase"), F.col("n").alias("f"))
+    if top is None:
+        return single.unionByName(counted(known)), totals
+
+    counts, todo = single, totals
+    for mass in (START * top * support, WIDER * START * top * support):
+        limits = stored(_limits(words.join(todo.select("group"), "group", "left_semi"), todo, mass), "phrase-limits")
+        rare = words.join(limits, "group").filter(F.col("most").isNull() | (F.col("n") <= F.col("most")))
+        more = counted(slots_of(rare.select("group", "word")))
+        more = more.join(limits, "group", "left_semi")
+        left = stored(_unsettled(_free(single.unionByName(more), totals), totals.join(limits, "group"), top), "phrase-groups")
+        counts = counts.unionByName(more.join(left, "group", "left_anti"))
+        todo = totals.join(left, "group", "left_semi")
+        if left.isEmpty():
+            return counts, totals
+    last = counted(slots_of(words.join(todo, "group", "left_semi"))).join(todo, "group", "left_semi")
+    return counts.unionByName(last), totals
+
+
+def _limits(words: DataFrame, groups: DataFrame, mass: int) -> DataFrame:
+    """(group, most): up to which f a group's words have ``mass`` occurrences together; null if all have less."""
+    steps = words.groupBy("group", F.floor(8 * F.log2("n")).alias("step")).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("group").orderBy("step"))
+    reached = steps.withColumn("sum", so_far).filter(F.col("sum") >= mass).groupBy("group").agg(F.min("most").alias("most"))
+    return groups.select("group").join(reached, "group", "left")
+
+
+def _unsettled(free: DataFrame, limits: DataFrame, top: int) -> DataFrame:
+    """The groups of limits(group, n, most) with fewer than ``top`` phrases above what any other phrase can score."""
+    bound = F.expr(f"cast(1000 * cast(n as decimal(19,0)) as {_EXACT}) div cast(most + 1 as {_EXACT})")
+    limits = limits.filter("most is not null").select("group", bound.alias("bound"))
+    settled = (free.select("group", F.col("cut.score").alias("score")).join(limits, "group").filter("score > bound")
+               .groupBy("group").count().filter(F.col("count") >= top))
+    return limits.join(settled, "group", "left_anti").select("group")
 
 
 def _joined(words: Column, start, length) -> Column:
@@ -400,7 +460,15 @@ def _joined(words: Column, start, length) -> Column:
 def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang", support: int = SUPPORT,
                  longest: int = LONGEST, top: int = TOP, shard: int = SHARD) -> DataFrame:
     """The ``top`` phrases of each group: group, rank, phrase, a, l, r, n, score."""
-    counts, totals = frequent_phrases(docs, text_col, group_col, support, longest, shard)
+    counts, totals = frequent_phrases(docs, text_col, group_col, support, longest, shard, top)
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("cut.score"), F.desc("a"), "phrase"))
+    return _free(counts, totals).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top).select(
+        "group", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n",
+        F.col("cut.score").alias("score"))
+
+
+def _free(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """group, phrase, a, n and lowest-scoring cut of the phrases whose parts are all counted and that no longer one holds."""
     split = F.split("phrase", " ")
     candidates = counts.filter(F.contains("phrase", F.lit(" "))).withColumn("words", split)
     cuts = candidates.select(
@@ -415,7 +483,8 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
               .select("*", *wide)
               .withColumn("score", F.expr(f"cast(cast(1000 * _a as decimal(19,0)) * _n as {_EXACT}) div cast(_l * _r as {_EXACT})")))
     lowest = scored.groupBy("group", "phrase").agg(
-        F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+        F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "k", "l", "r")).alias("cut"),
+        F.count(F.lit(1)).alias("cuts")).filter(F.col("cuts") == F.size(split) - 1)
 
     # every shorter phrase inside a candidate, with the occurrences of the longer one
     size = F.size("words")
@@ -424,9 +493,5 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
         "group", "words", "f", "m", F.explode(F.sequence(F.lit(1), size - F.col("m") + 1)).alias("i")).select(
         "group", _joined(F.col("words"), F.col("i"), F.col("m")).alias("phrase"), "f")
     holders = inner.groupBy("group", "phrase").agg(F.max("f").alias("_longer"))
-    free = lowest.join(holders, ["group", "phrase"], "left").filter(
+    return lowest.join(holders, ["group", "phrase"], "left").filter(
         F.col("_longer").isNull() | (F.col("_longer") < F.col("a")))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("cut.score"), F.desc("a"), "phrase"))
-    return free.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top).select(
-        "group", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n",
-        F.col("cut.score").alias("score"))

@@ -94,3 +94,22 @@ def test_all_locally_frequent_phrases_are_found(spark):
     found, total = counted(docs)
     assert {tuple(r["phrase"].split(" ")): r["f"] for r in counts.collect()} == {w: a for w, a in found["g"].items() if a >= 20}
     assert {r["group"]: r["n"] for r in totals.collect()} == dict(total)
+
+
+@pytest.mark.parametrize("start", [0.01, 10])
+def test_only_what_decides_the_top_is_counted(spark, monkeypatch, start):
+    """The ranking is whole however few words are counted first, and phrases that cannot reach it are not handed on."""
+    import fieldloom.llm.phrases as module
+
+    monkeypatch.setattr(module, "START", start)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    often = 1 / np.arange(1, 61)
+    docs = [(i, " ".join(rng.choice(words, 60, p=often / often.sum())), "xyz"[i % 3]) for i in range(240)]
+    docs += [(1000 + i, f"rare{i % 12} pair{i % 12}. the rare{i % 12} pair{i % 12} end", "xyz"[i % 3]) for i in range(96)]
+    docs += [(2000 + i, "few words here", "few") for i in range(9)]
+    check(spark, docs, 8, shard=3000, top=4)
+    every, few = (frequent_phrases(frame(spark, *docs), support=8, shard=3000, top=n)[0] for n in (None, 4))
+    assert not few.exceptAll(every).count()
+    if start == 10:
+        assert 2 * few.count() < every.count()
